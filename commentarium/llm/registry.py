@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("terms", "topn", "tokens")
+MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks")
 
 
 def queries() -> dict:

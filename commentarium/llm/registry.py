@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks")
+MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies")
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies")
+MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies", "languages")
 
 
 def queries() -> dict:

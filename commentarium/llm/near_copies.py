@@ -65,14 +65,14 @@ def _counter(labels: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
-        total += np.bincount(_counter(labelled(*_flat(batch.column(0)))), minlength=COUNTERS)
+        total += np.bincount(_counter(_flat(batch.column(0))[0]), minlength=COUNTERS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 
 
 def frequency_file(texts: DataFrame) -> str:
     """Count in how many texts each labelled word (by counter) occurs, and let every task map the counts into memory."""
-    counted = texts.select("hashes").mapInArrow(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = texts.select("labels").mapInArrow(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     total = np.zeros(COUNTERS, dtype=np.int64)
     total[table["at"].to_numpy()] = table["n"].to_numpy()
@@ -95,14 +95,13 @@ def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def sketch_keys(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+def sketch_keys(labels: np.ndarray, lengths: np.ndarray, counts: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
     """Order-MinHash keys, one column a sketch.
 
     Every sketch orders a text's labelled words by a hash of its own and keeps the ``KEPT`` smallest in text order.
     Words are drawn in proportion to a power of their rarity (1 / number of texts), since words that many texts share
     would only fill buckets with texts that aren't alike; words of one text alone can't be shared and are drawn last.
     """
-    labels = labelled(values, lengths)
     begin = np.cumsum(lengths) - lengths
     keys = np.zeros((len(lengths), sketches), dtype=np.uint64)
     held = counts[_counter(labels)].astype(np.float64)
@@ -203,47 +202,25 @@ def aligned_words(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray,
     return best[:, :wide].max(axis=1)
 
 
-def shared_words(va: np.ndarray, la: np.ndarray, vb: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Words that two texts share, counted with repetition, in any order."""
-    pair = np.concatenate([np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)])
-    label = np.concatenate([labelled(va, la), labelled(vb, lb)])
-    order = np.lexsort((label, pair))
-    p, x = pair[order], label[order]
-    twice = (p[1:] == p[:-1]) & (x[1:] == x[:-1])
-    return np.bincount(p[1:][twice], minlength=len(la))
-
-
 def _padded(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.zeros((len(lengths), int(lengths.max())), dtype=np.uint64)
     out[np.arange(out.shape[1]) < lengths[:, None]] = values
     return out
 
 
-def _verified(min_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            (va, la), (vb, lb) = _flat(batch.column(2)), _flat(batch.column(3))
-            begin_a, begin_b = np.cumsum(la) - la, np.cumsum(lb) - lb
-            in_order, shared = np.zeros(len(la), np.int64), np.zeros(len(la), np.int64)
-            for rows in _blocks(np.maximum(la, lb) + 2 * BAND):
-                pick = lambda v, s, n: np.concatenate([v[x : x + y] for x, y in zip(s[rows], n[rows])])
-                xa, xb = pick(va, begin_a, la), pick(vb, begin_b, lb)
-                in_order[rows] = aligned_words(_padded(xa, la[rows]), la[rows], _padded(xb, lb[rows]), lb[rows])
-                enough = in_order[rows] / (la[rows] + lb[rows] - in_order[rows]) >= min_share
-                shared[rows] = in_order[rows]
-                rest = rows[~enough]
-                if len(rest):  # moved passages break the alignment; their words are counted in any order
-                    take = lambda v, s, n: np.concatenate([v[x : x + y] for x, y in zip(s[rest], n[rest])])
-                    shared[rest] = shared_words(take(va, begin_a, la), la[rest], take(vb, begin_b, lb), lb[rest])
-            share = shared / (la + lb - shared)
-            good = share >= min_share - 1e-12
-            cut = [c.filter(pa.array(good)) for c in batch.columns[:2]]
-            both = [pa.array(np.round(x[good], 4)) for x in (share, in_order / np.maximum(la, lb))]
-            yield pa.RecordBatch.from_arrays([*cut, *both], names=["a", "b", "at_least", "aligned"])
-
-    return run
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (va, la), (vb, lb) = _flat(batch.column(3)), _flat(batch.column(4))
+        begin_a, begin_b = np.cumsum(la) - la, np.cumsum(lb) - lb
+        in_order = np.zeros(len(la))
+        for rows in _blocks(np.maximum(la, lb) + 2 * BAND):
+            xa = np.concatenate([va[x : x + y] for x, y in zip(begin_a[rows], la[rows])])
+            xb = np.concatenate([vb[x : x + y] for x, y in zip(begin_b[rows], lb[rows])])
+            in_order[rows] = aligned_words(_padded(xa, la[rows]), la[rows], _padded(xb, lb[rows]), lb[rows])
+        aligned = pa.array(np.round(in_order / np.maximum(la, lb), 4))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], aligned], names=["a", "b", "share", "aligned"])
 
 
 def _rare_prefixes(counts_name: str, min_share: float):
@@ -252,8 +229,7 @@ def _rare_prefixes(counts_name: str, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _counts(counts_name)
         for batch in batches:
-            values, lengths = _flat(batch.column(1))
-            labels = labelled(values, lengths)
+            labels, lengths = _flat(batch.column(1))
             row = np.repeat(np.arange(len(lengths)), lengths)
             order = np.lexsort((labels, counts[_counter(labels)], row))
             place = np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -265,27 +241,38 @@ def _rare_prefixes(counts_name: str, min_share: float):
     return run
 
 
+def _labelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, lengths = _flat(batch.column(3))
+        labels = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(labelled(values, lengths).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], labels], names=["b1", "b2", "rid", "labels"])
+
+
 def classes_of_copies(df: DataFrame, ident: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(representatives ``rid, hashes``; membership ``rid, id``) of texts with the same words, counted with repetition."""
+    """(representatives ``rid, labels``; membership ``rid, id``) of texts with the same words, counted with repetition.
+
+    ``labels`` are the hashes of a text's words, each with the number of its occurrence, in text order.
+    """
     words = F.expr(rf"regexp_extract_all(lower(`{text}`), '[\\p{{L}}\\p{{N}}]+', 0)")
     rows = df.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("string").alias("id"), words.alias("words"))
     rows = rows.filter(F.size("words") >= min_words)
     rows = rows.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).withColumn("bag", F.array_sort("hashes"))
     long = written(rows.select("id", F.xxhash64("bag").alias("b1"), F.xxhash64(F.lit(7), "bag").alias("b2"), "hashes"), "long")
-    kept = long.groupBy("b1", "b2").agg(F.min(F.struct("id", "hashes")).alias("r"))
-    texts = written(kept.select("b1", "b2", F.col("r.id").alias("rid"), F.col("r.hashes").alias("hashes")), "texts")
+    kept = long.groupBy("b1", "b2").agg(F.min(F.struct("id", "hashes")).alias("r")).select("b1", "b2", "r.id", "r.hashes")
+    texts = written(kept.mapInArrow(_labelling, "b1 long, b2 long, rid string, labels array<long>"), "texts")
     members = long.select("id", "b1", "b2").distinct().join(texts.select("b1", "b2", "rid"), ["b1", "b2"]).select("rid", "id")
-    return texts.select("rid", "hashes"), members
+    return texts.select("rid", "labels"), members
 
 
 def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: int = SKETCHES) -> DataFrame:
-    """``a, b, at_least, aligned`` of all pairs of representatives that share ``min_share`` of their words.
+    """``a, b, share, aligned`` of all pairs of representatives that share ``min_share`` of their words.
 
-    ``at_least`` is a lower bound of the share (exact where the alignment alone didn't show enough), ``aligned`` the
-    part of the longer text that the banded alignment matches in order.
+    No alignment can match more words than two texts share in any order, so candidates that share too few are left
+    out before they are aligned. ``aligned`` is the part of the longer text that the banded alignment matches in
+    order; moved sentences lower it, so the share decides.
     """
     counts = frequency_file(texts)
-    rows = texts.select("rid", "hashes").mapInArrow(_sketching(counts, sketches), "key long, rid string")
+    rows = texts.select("rid", "labels").mapInArrow(_sketching(counts, sketches), "key long, rid string")
     met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, "a string, b string"), "met")
     pairs = met.filter(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crowded = met.filter(F.col("b").isNull()).select(F.col("a").alias("rid")).distinct()
@@ -293,17 +280,18 @@ def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: in
     x, y = prefixes.toDF("key", "a", "na"), prefixes.toDF("key", "b", "nb")
     near = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * min_share))
     candidates = pairs.unionByName(near.select("a", "b")).distinct()
-    first = candidates.join(texts.toDF("a", "ha"), "a")
-    both = first.join(texts.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
-    return both.mapInArrow(_verified(min_share), "a string, b string, at_least double, aligned double")
+    first = candidates.join(texts.toDF("a", "la"), "a")
+    shared = F.size(F.array_intersect("la", "lb"))
+    both = first.join(texts.toDF("b", "lb"), "b").withColumn("share", shared / (F.size("la") + F.size("lb") - shared))
+    good = both.filter(F.col("share") >= min_share - 1e-12).select("a", "b", "share", "la", "lb")
+    return good.mapInArrow(_aligned, "a string, b string, share double, aligned double")
 
 
 def near_copies(df: DataFrame, ident: str, text: str, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """``a < b``: all pairs of ids whose texts have ``min_words`` words each and share ``min_share`` of them.
 
     Order MinHash: each sketch keeps the smallest occurrence-labelled words of a text in text order; texts with an
-    equal sketch are candidates. Banded alignment accepts those whose words agree in order, an exact count of shared
-    words decides the rest. Texts with the same words are one class, compared once. Texts in buckets that are too
+    equal sketch are candidates, verified by the words they share and by banded alignment. Texts with the same words are one class, compared once. Texts in buckets that are too
     large are compared by their rare words instead, which misses none.
 
     Null ids and null, empty or short texts have no pairs. Repeated ids count once per different text. No id pairs

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies", "languages")
+MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies", "languages", "pii")
 
 
 def queries() -> dict:

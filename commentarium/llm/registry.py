@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies", "languages", "pii", "clusters")
+MODULES = ("terms", "topn", "lookalikes", "tokens", "leaks", "near_copies", "languages", "abuse", "pii", "clusters")
 
 
 def queries() -> dict:

@@ -41,3 +41,15 @@ def distinct_fans(df: DataFrame) -> DataFrame:
     """One row per fan; some are repeated exactly."""
     order = [F.col("comment_count").desc_nulls_last(), F.col("likes_earned").desc_nulls_last(), F.col("recency").asc_nulls_last()]
     return latest(df, "author_channel_id", order)
+
+
+def hashed_sample(df: DataFrame, ident: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``ident``: always the same ones, spread over the whole table.
+
+    Rows are first thinned by the hash to a little more than wanted, so that what is sorted in one place doesn't grow
+    with the table.
+    """
+    n = df.count()
+    share = min(1.0, (1.5 * rows + 100) / max(1, n))
+    place = F.pmod(F.xxhash64(F.col(ident)), F.lit(1 << 30))
+    return df.filter(place <= int(share * (1 << 30))).orderBy(place, ident).limit(rows)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from commentarium.llm.lookalikes import Rewriter
 from commentarium.session import ship_bytes
-from commentarium.tables import load
+from commentarium.tables import hashed_sample, load
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *CATEGORIES)
@@ -272,7 +272,7 @@ def fit(examples: DataFrame, text: str, label: str, order: str, corpus: DataFram
     Rows without text or with another label are left out.
     """
     usable = examples.filter(F.col(label).isin(list(CLASSES)) & F.col(text).isNotNull()).orderBy(order).select(text, label).limit(TRAIN_ROWS)
-    some = corpus.filter(F.col(corpus_text).isNotNull()).orderBy(F.xxhash64(ident), ident).select(corpus_text).limit(UNLABELLED_ROWS)
+    some = hashed_sample(corpus.filter(F.col(corpus_text).isNotNull()).select(ident, corpus_text), ident, UNLABELLED_ROWS).select(corpus_text)
     return train([(r[0], r[1]) for r in usable.collect()], sorted({r[0] for r in some.collect()}))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentarium.session import ship_bytes
-from commentarium.tables import load
+from commentarium.tables import hashed_sample, load
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_FILE = "piece_bpe_32k.model"
@@ -352,7 +352,7 @@ def refit(model: Model, samples: list[tuple[str, str]], labelled: DataFrame, ide
     Labels may be wrong: a text counts only if the model finds the label's language, and no other, in it.
     """
     usable = labelled.filter(F.col(label).isin(model.languages) & (F.trim(text) != ""))
-    bounded = usable.orderBy(F.xxhash64(ident), ident).select(label, text).limit(rows).distinct()
+    bounded = hashed_sample(usable.select(ident, label, text), ident, rows).select(label, text).distinct()
     texts = sorted((r[0], r[1]) for r in bounded.collect())
     index, words = {}, []
     coded = []

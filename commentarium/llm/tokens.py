@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentarium.session import ship_bytes
+from commentarium.session import ship_bytes, written
 from commentarium.tables import load
 
 #: Where the public vocabularies lie; override with the environment or the ``rank_file`` parameter.
@@ -215,14 +215,23 @@ def _encoder(lexicon: str, rank_name: str):
 
 
 def frequent_words(df: DataFrame, text: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The words that occur most often over all texts, at most ``most``; of equal counts the smaller first.
+    """The words that occur most often over all texts, at most ``most``: those above a power of two that so few reach.
 
     They only choose what the lexicon holds, never what comes out, so a pattern close to the tokenizer's will do
-    here and the count stays in the JVM.
+    here and the count stays in the JVM. The driver gets the number of words per power of two, then the words.
     """
     words = df.select(F.explode(F.expr(rf"regexp_extract_all({_quoted(text)}, ' ?\\p{{L}}+| ?\\p{{N}}+| ?[^\\s\\p{{L}}\\p{{N}}]+', 0)")).alias("w"))
-    ranked = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    return [r[0] for r in ranked.select("w").collect()]
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).withColumn("power", F.floor(F.log2("n")).cast("int"))
+    counted = written(counted, "words")
+    sizes = sorted(((r[0], r[1]) for r in counted.groupBy("power").count().collect()), reverse=True)
+    held, least = 0, None
+    for power, n in sizes:
+        if held + n > most:
+            break
+        held, least = held + n, power
+    if least is None:
+        return []
+    return sorted(r[0] for r in counted.filter(F.col("power") >= least).select("w").collect())
 
 
 def _quoted(name: str) -> str:

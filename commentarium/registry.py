@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("plans.clean", "plans.sentiment", "plans.analysis", "plans.extra")
 FLAGSHIP = "agg2_sentiment_over_time"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commentarium.session import written
+
 # Words that never count as terms.
 STOPWORDS = (
     "the a an and or but in on at to for of with as is was are were be been being have has had do does did will would could should may "
@@ -15,7 +17,7 @@ STOPWORDS = (
 MAX_TERMS, MIN_DF = 500, 2
 
 
-def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DF, by_documents: bool = True) -> DataFrame:
+def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DF) -> DataFrame:
     """``word, score, count``: sum over texts of the L2-normalised (1 + ln tf)(ln((1+N)/(1+df)) + 1); count is the number of texts.
 
     Terms are runs of three and more ASCII letters that are no stop words, and pairs of neighbours among them; kept
@@ -24,11 +26,12 @@ def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS
     """
     w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), 0), lambda t: ~t.isin(STOPWORDS))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    terms = df.select(F.col(ident).alias("id"), w.alias("w")).select("id", F.explode(F.concat("w", pairs)).alias("word"))
+    texts = written(df.select(F.col(ident).alias("id"), w.alias("w")), "words")  # read three times below
+    terms = texts.select("id", F.explode(F.concat("w", pairs)).alias("word"))
     tf = terms.groupBy("id", "word").agg(F.count("*").alias("tf"))
     vocabulary = tf.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
     kept = vocabulary.orderBy(F.desc("cf"), "word").limit(max_terms)
-    n = df.agg(F.count("*").alias("n_docs"))
+    n = texts.agg(F.count("*").alias("n_docs"))
     idf = kept.join(F.broadcast(n)).select("word", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weights = tf.join(F.broadcast(idf), "word").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

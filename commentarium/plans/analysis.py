@@ -71,13 +71,18 @@ def stat8_keyword_shifts(spark: SparkSession, sf: str) -> DataFrame:
     return A.mean_shift(hits, "keyword", "keyword", sure, A.MIN_MENTIONS).select("item", "n", F.round(F.col("t") + 1e-9, 3).alias("t"), "delta", "m")
 
 
+def _stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores written once, as three families read them."""
+    return written(V.scored(spark, sf).select("comment_id", "video_id", "text", "sentiment_score", "sentiment_label"), "scored")
+
+
 def stat9_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """All three families with p-values, both corrections and what fires."""
-    return A.all_alerts(V.scored(spark, sf), list(KEYWORDS))
+    return A.all_alerts(_stored_scores(spark, sf), list(KEYWORDS))
 
 
 def agg17_alert_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return A.family_summary(A.all_alerts(written(V.scored(spark, sf).drop("repeat_key"), "scored"), list(KEYWORDS)))
+    return A.family_summary(A.all_alerts(_stored_scores(spark, sf), list(KEYWORDS)))
 
 
 def stat5_corrections(spark: SparkSession, sf: str) -> DataFrame:

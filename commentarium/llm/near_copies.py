@@ -243,32 +243,42 @@ def _rare_prefixes(counts_name: str, min_share: float):
 
 def _labelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         values, lengths = _flat(batch.column(3))
-        labels = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(labelled(values, lengths).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], labels], names=["b1", "b2", "rid", "labels"])
+        labels = labelled(values, lengths)
+        starts = np.cumsum(lengths) - lengths
+        bit = np.uint64(1) << (labels & np.uint64(63))
+        high = (labels & np.uint64(64)) > 0
+        maps = [np.bitwise_or.reduceat(np.where(high == h, bit, np.uint64(0)), starts).view(np.int64) for h in (False, True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(labels.view(np.int64)))
+        names = ["b1", "b2", "rid", "labels", "n", "m1", "m2"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists, pa.array(lengths, pa.int32()), *map(pa.array, maps)], names=names)
 
 
 def classes_of_copies(df: DataFrame, ident: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(representatives ``rid, labels``; membership ``rid, id``) of texts with the same words, counted with repetition.
+    """(representatives ``rid, labels, n, m1, m2``; membership ``rid, id``) of texts with the same words, counted with repetition.
 
-    ``labels`` are the hashes of a text's words, each with the number of its occurrence, in text order.
+    ``labels`` are the hashes of a text's ``n`` words, each with the number of its occurrence, in text order; ``m1``
+    and ``m2`` are a map of 128 bits with a bit for each label.
     """
     words = F.expr(rf"regexp_extract_all(lower(`{text}`), '[\\p{{L}}\\p{{N}}]+', 0)")
     rows = df.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("string").alias("id"), words.alias("words"))
     rows = rows.filter(F.size("words") >= min_words)
     rows = rows.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).withColumn("bag", F.array_sort("hashes"))
-    long = written(rows.select("id", F.xxhash64("bag").alias("b1"), F.xxhash64(F.lit(7), "bag").alias("b2"), "hashes"), "long")
+    long = rows.select("id", F.xxhash64("bag").alias("b1"), F.xxhash64(F.lit(7), "bag").alias("b2"), "hashes")
     kept = long.groupBy("b1", "b2").agg(F.min(F.struct("id", "hashes")).alias("r")).select("b1", "b2", "r.id", "r.hashes")
-    texts = written(kept.mapInArrow(_labelling, "b1 long, b2 long, rid string, labels array<long>"), "texts")
+    texts = written(kept.mapInArrow(_labelling, "b1 long, b2 long, rid string, labels array<long>, n int, m1 long, m2 long"), "texts")
     members = long.select("id", "b1", "b2").distinct().join(texts.select("b1", "b2", "rid"), ["b1", "b2"]).select("rid", "id")
-    return texts.select("rid", "labels"), members
+    return texts.drop("b1", "b2"), members
 
 
 def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: int = SKETCHES) -> DataFrame:
     """``a, b, share, aligned`` of all pairs of representatives that share ``min_share`` of their words.
 
     No alignment can match more words than two texts share in any order, so candidates that share too few are left
-    out before they are aligned. ``aligned`` is the part of the longer text that the banded alignment matches in
+    out before they are aligned: first by their maps (a bit that only one text has is a word that only it has, so
+    this bound loses nothing), then by an exact count. ``aligned`` is the part of the longer text that the banded alignment matches in
     order; moved sentences lower it, so the share decides.
     """
     counts = frequency_file(texts)
@@ -276,13 +286,19 @@ def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: in
     met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, "a string, b string"), "met")
     pairs = met.filter(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crowded = met.filter(F.col("b").isNull()).select(F.col("a").alias("rid")).distinct()
-    prefixes = texts.join(crowded, "rid", "left_semi").mapInArrow(_rare_prefixes(counts, min_share), "key long, rid string, n int")
+    prefixes = texts.select("rid", "labels").join(crowded, "rid", "left_semi").mapInArrow(_rare_prefixes(counts, min_share), "key long, rid string, n int")
     x, y = prefixes.toDF("key", "a", "na"), prefixes.toDF("key", "b", "nb")
     near = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * min_share))
     candidates = pairs.unionByName(near.select("a", "b")).distinct()
-    first = candidates.join(texts.toDF("a", "la"), "a")
+    maps = texts.select("rid", "n", "m1", "m2")
+    met_maps = candidates.join(maps.toDF("a", "na", "a1", "a2"), "a").join(maps.toDF("b", "nb", "b1", "b2"), "b")
+    only = lambda x, y: F.expr(f"bit_count({x}1 & ~{y}1) + bit_count({x}2 & ~{y}2)")
+    most = F.least(F.col("na") - only("a", "b"), F.col("nb") - only("b", "a"))
+    likely = met_maps.filter(most / (F.col("na") + F.col("nb") - most) >= min_share - 1e-12).select("a", "b")
+    lists = texts.select("rid", "labels")
+    first = likely.join(lists.toDF("a", "la"), "a")
     shared = F.size(F.array_intersect("la", "lb"))
-    both = first.join(texts.toDF("b", "lb"), "b").withColumn("share", shared / (F.size("la") + F.size("lb") - shared))
+    both = first.join(lists.toDF("b", "lb"), "b").withColumn("share", shared / (F.size("la") + F.size("lb") - shared))
     good = both.filter(F.col("share") >= min_share - 1e-12).select("a", "b", "share", "la", "lb")
     return good.mapInArrow(_aligned, "a string, b string, share double, aligned double")
 

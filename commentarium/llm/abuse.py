@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,10 +40,12 @@ LEET = str.maketrans("0134578@$", "oieastbas")
 
 SPELLED = regex.compile(r"(?<![\p{L}\p{N}])([\p{L}\p{N}])(?:([ ._*\-])([\p{L}\p{N}])(?=\2|(?![\p{L}\p{N}])))(?:\2[\p{L}\p{N}](?![\p{L}\p{N}]))+")
 REPEATED = regex.compile(r"(.)\1{2,}")
-TOKEN = regex.compile(r"[\p{L}\p{N}*@$]+|[.!?]")
+#: Quick looks that tell whether one of the slower patterns can match.
+MAY_BE_SPELLED, MAY_BE_REPEATED = re.compile(r"(?:^|[^\w])\w([ ._*\-])\w\1\w"), re.compile(r"(.)\1\1")
+TOKEN = re.compile(r"(?:[^\W_]|[*@$])+|[.!?]")
 PARTS = regex.compile(r"[\p{L}\p{N}]")
-SUSPECT = regex.compile(r"[\p{Mn}\p{Cf}！-ｚﬀ-ﬆ\U0001D400-\U0001D7FF\p{Cyrillic}\p{Greek}]")
-MASK = (1 << 64) - 1
+#: Characters in disguise: accents apart, invisible, full-width, ligature and mathematical forms, words of two scripts.
+SUSPECT = re.compile("[̀-ͯ​-‏­⁠﻿＀-￯ﬀ-ﬆ\U0001d400-\U0001d7ff]|[a-zA-Z]\\w*[Ͱ-ӿ]|[Ͱ-ӿ]\\w*[a-zA-Z]")
 
 
 @lru_cache(maxsize=1)
@@ -52,11 +55,12 @@ def _rewriter() -> Rewriter:
 
 def plain(text: str) -> str:
     """Lower-cased text with disguises taken off: look-alike characters, words spelled out in single letters, stretched letters."""
-    if SUSPECT.search(text):
+    if not text.isascii() and SUSPECT.search(text):
         text = _rewriter().rewrite(unicodedata.normalize("NFC", text))[0]
     text = text.lower()
-    text = SPELLED.sub(lambda m: "".join(PARTS.findall(m.group())), text)
-    return REPEATED.sub(r"\1", text)
+    if MAY_BE_SPELLED.search(text):
+        text = SPELLED.sub(lambda m: "".join(PARTS.findall(m.group())), text)
+    return REPEATED.sub(r"\1", text) if MAY_BE_REPEATED.search(text) else text
 
 
 def plain_word(word: str) -> str:
@@ -70,18 +74,40 @@ def tokens(text: str) -> list[str]:
     return [plain_word(w) for w in TOKEN.findall(plain(text))]
 
 
-def _hash(text: str) -> int:
-    h = 0xCBF29CE484222325
-    for c in text:
-        h = ((h ^ ord(c)) * 0x100000001B3) & MASK
-    return h ^ (h >> 29)
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams; unseen misspellings share most of these."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    return [_hash(f"w{word}") % BUCKETS, *(_hash(g) % BUCKETS for g in sorted(grams))]
+def _rolled(codes: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` characters from each place on."""
+    h = np.full(len(begin), n, dtype=np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x100000001B3) + codes[begin + k]
+    return _spread(h)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, number of buckets of each word, hash of each word): the word and its character n-grams, begin and end marked.
+
+    Unseen misspellings share most n-grams with the word that is meant.
+    """
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    power = np.cumsum(codes * _spread(np.arange(len(codes), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64) + np.uint64(1)), dtype=np.uint64)
+    ends = starts + sizes - 1
+    whole = _spread(power[ends] - np.where(starts > 0, power[starts - 1], np.uint64(0)) + sizes.astype(np.uint64))
+    word, place = [np.arange(len(words))], [whole % np.uint64(BUCKETS)]
+    row = np.repeat(np.arange(len(words)), sizes)
+    for n in GRAMS:
+        begin = np.flatnonzero(np.arange(len(codes)) + n <= (starts + sizes)[row])
+        word.append(row[begin])
+        place.append(_rolled(codes, begin, n) % np.uint64(BUCKETS))
+    word, place = np.concatenate(word), np.concatenate(place).astype(np.int64)
+    order = np.argsort(word, kind="stable")
+    return place[order], np.bincount(word, minlength=len(words)), whole
 
 
 def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,11 +117,17 @@ def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(27))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _text_features(words: list[str]) -> np.ndarray:
-    """All buckets of a text: words, n-grams and pairs; a word's n-grams together weigh as much as the word."""
-    ids = [f for w in words for f in word_features(w)]
-    hashes = np.array([_hash(w) for w in words], dtype=np.uint64)
-    return np.concatenate([np.array(ids, dtype=np.int64), pair_bucket(hashes[:-1], hashes[1:])])
+def _text_features(texts: list[list[str]]) -> list[np.ndarray]:
+    """All buckets of each text: words, n-grams and pairs of neighbouring words."""
+    words = sorted({w for t in texts for w in t})
+    index = {w: k for k, w in enumerate(words)}
+    place, sizes, hashes = word_features(words)
+    own = np.split(place, np.cumsum(sizes)[:-1])
+    out = []
+    for t in texts:
+        at = np.array([index[w] for w in t], dtype=np.int64)
+        out.append(np.concatenate([*(own[k] for k in at), pair_bucket(hashes[at[:-1]], hashes[at[1:]])]))
+    return out
 
 
 def _optimise(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -163,8 +195,8 @@ def train(examples: list[tuple[str, str]], unlabelled: list[str]) -> np.ndarray:
         if y:
             other = harmless[int(rng.integers(len(harmless)))]
             known += [([*other[-3:], *w], y, LABELLED_WEIGHT / 2), ([*w, *other[:3]], y, LABELLED_WEIGHT / 2)]
-    features = [_text_features(w) for w, _, _ in known]
-    more = [_text_features(w) for w in stretches]
+    features = _text_features([w for w, _, _ in known])
+    more = _text_features(stretches) if stretches else []
 
     def fitted(extra: list[tuple[int, int, float]]) -> np.ndarray:
         labels = np.array([y for _, y, _ in known] + [y for _, y, _ in extra])
@@ -197,17 +229,16 @@ class Scorer:
     def __init__(self, logits: np.ndarray):
         self.logits = np.asarray(logits)
         self.known: dict[str, int] = {}
+        self.written: dict[str, int] = {}  # the same by the word as it stands in the text
         self.sums = np.zeros((0, len(CLASSES)), dtype=np.float32)
         self.sizes, self.hashes = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.uint64)
 
     def _learn(self, fresh: list[str]) -> None:
-        found = [word_features(w) for w in fresh]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((f for x in found for f in x), dtype=np.int64, count=int(sizes.sum()))
-        sums = np.add.reduceat(self.logits[flat], np.cumsum(sizes) - sizes, axis=0)
+        place, sizes, hashes = word_features(fresh)
+        sums = np.add.reduceat(self.logits[place], np.cumsum(sizes) - sizes, axis=0)
         self.sums = np.concatenate([self.sums, sums])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.float32)])
-        self.hashes = np.concatenate([self.hashes, np.array([_hash(w) for w in fresh], dtype=np.uint64)])
+        self.hashes = np.concatenate([self.hashes, hashes])
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The probabilities of ``CATEGORIES`` in each text's worst window of each category."""
@@ -215,13 +246,17 @@ class Scorer:
             self.__init__(self.logits)
         fresh, index, lengths = [], [], []
         for text in texts:
-            words = tokens(text)
+            words = TOKEN.findall(plain(text))
             lengths.append(len(words))
             for w in words:
-                k = self.known.get(w)
+                k = self.written.get(w)
                 if k is None:
-                    k = self.known[w] = len(self.known)
-                    fresh.append(w)
+                    norm = plain_word(w)
+                    k = self.known.get(norm)
+                    if k is None:
+                        k = self.known[norm] = len(self.known)
+                        fresh.append(norm)
+                    self.written[w] = k
                 index.append(k)
         if fresh:
             self._learn(fresh)
@@ -239,7 +274,7 @@ class Scorer:
         total = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(self.sums[at], axis=0, dtype=np.float64)])
         paired = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(pairs, axis=0)])
         counted = np.concatenate([[0.0], np.cumsum(self.sizes[at], dtype=np.float64)])
-        here = np.arange(len(at))
+        here, spans, chances = np.arange(len(at)), [], []
         for window in WINDOWS:
             # windows start at every word, or end with the text
             left = np.maximum(np.minimum(here, stop - window), begin)
@@ -249,9 +284,24 @@ class Scorer:
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p = p[:, 1:] / p.sum(axis=1, keepdims=True)
             p[p < p.max(axis=1, keepdims=True)] = 0  # a window speaks for its likeliest category only
-            full = n > 0
-            worst = np.maximum.reduceat(p, (np.cumsum(n) - n)[full], axis=0)
-            out[full] = np.maximum(out[full], worst)
+            spans.append((left, right))
+            chances.append(p)
+        # the worst window of a text decides for all windows that overlap it; other categories need words of their own
+        full = n > 0
+        starts = (np.cumsum(n) - n)[full]
+        tops = np.stack([p.max(axis=1) for p in chances], axis=1)
+        worst = np.maximum.reduceat(tops.max(axis=1), starts)
+        of = np.cumsum(full)[row] - 1
+        k, size = np.nonzero(tops == worst[of][:, None])
+        chosen = np.full((len(starts), 3), -1, dtype=np.int64)
+        for w in range(len(WINDOWS)):
+            pick = k[size == w]
+            chosen[of[pick]] = np.stack([spans[w][0][pick], spans[w][1][pick], chances[w][pick].argmax(axis=1)], axis=1)
+        for p, (left, right) in zip(chances, spans):
+            lo, hi, category = chosen[of].T
+            apart = (left >= hi) | (right <= lo)
+            p *= apart[:, None] | (np.arange(len(CATEGORIES)) == category[:, None])
+            out[full] = np.maximum(out[full], np.maximum.reduceat(p, starts, axis=0))
         return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commentarium.llm.lookalikes import Rewriter
 from commentarium.session import ship_bytes
 from commentarium.tables import hashed_sample, load
 
@@ -40,15 +42,32 @@ LABELS = {
     "ru": "ru rus russian русский",
 }
 EDGE = regex.compile(r"^[^\p{L}]+|[^\p{L}]+$")
+#: Characters that only look like those of a word; runs of single letters.
+DISGUISED = re.compile("[̀-ͯ​-‏­⁠﻿＀-￯ﬀ-ﬆ\U0001d400-\U0001d7ff]|[a-zA-Z]\\w*[Ͱ-ӿ]|[Ͱ-ӿ]\\w*[a-zA-Z]")
+SPELLED = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_]\s){3,}[^\W\d_](?=\s|$)")
 SKIPPED = regex.compile(r"^[#@]|://|^www\.|^[^\p{L}]*$")
 PRIME = np.uint64(1099511628211)
 
 
+@lru_cache(maxsize=1)
+def _rewriter() -> Rewriter:
+    return Rewriter({})
+
+
 def normal_word(token: str) -> str:
-    """A token as it is scored: lower-cased, without what surrounds its letters; empty for tags, handles, links and numbers."""
+    """A token as it is scored: lower-cased, without look-alike characters and what surrounds its letters; empty for tags, handles, links and numbers."""
+    if DISGUISED.search(token):
+        token = _rewriter().rewrite(token)[0]
     return "" if SKIPPED.search(token) else EDGE.sub("", token.lower())
 
 
+def split_words(text: str) -> list[str]:
+    """A text's words at white space; letters of words that are spelled out one by one are marked as numbers are."""
+    if SPELLED.search(text):
+        text = SPELLED.sub(lambda m: regex.sub(r"\S", "0", m.group()), text)
+    return text.split()
+
+
 def read_pieces(path: str) -> list[str]:
     """Pieces of the public vocabulary that a lower-cased word can hold."""
     import sentencepiece
@@ -311,7 +330,7 @@ def _labelling(name: str):
             by_token: dict[str, int] = {}
             for text in batch.column(1).to_pylist():
                 row = []
-                for token in text.split():
+                for token in split_words(text):
                     k = by_token.get(token)
                     if k is None:
                         word = normal_word(token)
@@ -358,7 +377,7 @@ def refit(model: Model, samples: list[tuple[str, str]], labelled: DataFrame, ide
     coded = []
     for _, t in texts:
         row = []
-        for token in t.split():
+        for token in split_words(t):
             word = normal_word(token)
             if word not in index:
                 index[word] = len(words)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,15 +69,11 @@ def written(df: DataFrame, label: str = "t", partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:
-    """Put bytes of a bounded size into the shared folder and let every executor fetch them as a file.
-
-    Returns the name to give to ``SparkFiles.get`` inside a task, where the file can be memory-mapped.
-    """
-    name = f"{uuid.uuid4().hex}{suffix}"
-    uri = f"{shared_dir(spark).rstrip('/')}/{name}"
-    if uri.startswith("file:"):
-        path = uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:///") else uri[len("file:") :]
+def _put(spark: SparkSession, data: bytes, suffix: str) -> str:
+    """Write bytes into the shared folder; their place."""
+    uri = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}{suffix}"
+    if uri.startswith("file:") or "://" not in uri:
+        path = "/" + uri.removeprefix("file:").lstrip("/")
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as f:
             f.write(data)
@@ -85,5 +83,31 @@ def ship_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:
         out = target.getFileSystem(conf).create(target)
         out.write(bytearray(data))
         out.close()
+    return uri
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once a session, so that tasks find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_commentarium_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(_put(spark, buffer.getvalue(), ".zip"))
+    sc._commentarium_shipped = True
+
+
+def ship_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:
+    """Put bytes of a bounded size into the shared folder and let every executor fetch them as a file.
+
+    Returns the name to give to ``SparkFiles.get`` inside a task, where the file can be memory-mapped.
+    """
+    uri = _put(spark, data, suffix)
     spark.sparkContext.addFile(uri)
-    return name
+    return uri.rsplit("/", 1)[-1]

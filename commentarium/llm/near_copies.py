@@ -332,4 +332,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
+
+SQL = {
+    "p3_found": """
+        WITH t AS (SELECT comment_id, any_value(cleaned_text) AS text FROM comments WHERE comment_id IS NOT NULL AND cleaned_text IS NOT NULL GROUP BY comment_id),
+        w AS (SELECT comment_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
+        n AS (SELECT comment_id, len(w) AS n, w FROM w WHERE len(w) >= 30),
+        c AS (SELECT comment_id, n, word, count(*) AS c FROM (SELECT comment_id, n, unnest(w) AS word FROM n) GROUP BY ALL),
+        s AS (SELECT a.comment_id AS comment_a, b.comment_id AS comment_b, any_value(a.n + b.n) AS n, sum(least(a.c, b.c)) AS s
+              FROM c a JOIN c b ON a.word = b.word AND a.comment_id < b.comment_id GROUP BY ALL)
+        SELECT comment_a, comment_b FROM s WHERE s >= 0.7 * (n - s)
+    """,
+}

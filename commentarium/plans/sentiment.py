@@ -126,7 +126,31 @@ def agg6_topics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def agg16_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of the videos' numbers, cut to whole ones."""
+    return V.videos(spark, sf).agg(*[F.avg(c).cast("bigint").alias(f"avg_{c}") for c in ("view_count", "like_count", "comment_count", "duration_secs")])
+
+
+def dq3_insights(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyword, the fan and the video that stand out most, each with its number."""
+    rows = V.scored(spark, sf)
+    hits = sentiment.keyword_hits(rows, "text", {k: T.keyword_pattern(k) for k in KEYWORDS})
+    keyword = hits.groupBy(F.col("keyword").alias("item")).agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "item").limit(1)
+    fans = rows.filter(F.col("author").isNotNull() & F.col("author_channel_id").isNotNull())
+    fan = fans.groupBy(F.col("author").alias("item"), "author_channel_id").agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "item", "author_channel_id").limit(1).select("item", "value")
+    video = V.videos(spark, sf).filter(F.col("view_count").isNotNull()).orderBy(F.desc("view_count"), "video_id").limit(1).select(F.col("video_id").alias("item"), F.col("view_count").cast("double").alias("value"))
+    parts = [x.withColumn("what", F.lit(what)) for what, x in (("keyword", keyword), ("fan", fan), ("video", video))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("what", "item", "value")
+
+
+def dq4_views_over_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Views, likes and engagement of each video by its time, for the plots."""
+    rate = X.engagement_rate(F.col("like_count"), F.col("comment_count"), F.col("view_count")).alias("engagement_rate")
+    return V.videos(spark, sf).select("video_id", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), "view_count", "like_count", rate).orderBy("published", "video_id")
+
+
 QUERIES = {f.__name__: f for f in (
+    agg16_averages, dq3_insights, dq4_views_over_time,
     x1_scores, agg1_weighted_mean, f17_gap, agg2_sentiment_over_time, agg3_top_fans, agg4_keywords, dq8_label_shares, dq11_emotions, dq12_drill_down,
     dq13_top_per_emotion, dq14_extremes, dq1_header, dq5_top_videos, agg14_best_videos, agg6_topics,
 )}
@@ -138,6 +162,11 @@ _PCT = "round(avg(CASE WHEN sentiment_label = '{}' THEN 1.0::DOUBLE ELSE 0 END)
 _HITS = ", ".join(f"CASE WHEN regexp_matches(lower(text), {V.q(T.keyword_pattern(k))}, 'i') THEN '{k}' END" for k in KEYWORDS)
 _W6 = "sum(CASE WHEN sentiment_label <> 'Uncertain' THEN ln(1 + greatest(like_count, 0)) END)"
 SQL = {
+    "agg16_averages": "WITH" + V.VIDEOS_SQL + " SELECT " + ", ".join(f"CAST(trunc(avg({c})) AS BIGINT) AS avg_{c}" for c in ("view_count", "like_count", "comment_count", "duration_secs")) + " FROM vid",
+    "dq4_views_over_time": "WITH" + V.VIDEOS_SQL + f" SELECT video_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, view_count, like_count, {_RATE} AS engagement_rate FROM vid",
+    "dq3_insights": _SCV + f""", h AS (SELECT unnest([{_HITS}]) AS item FROM sc), k AS (SELECT 'keyword' AS what, item, CAST(count(*) AS DOUBLE) AS value FROM h WHERE item IS NOT NULL GROUP BY item ORDER BY value DESC, item LIMIT 1),
+        f AS (SELECT 'fan' AS what, author AS item, CAST(count(*) AS DOUBLE) AS value FROM sc WHERE author IS NOT NULL AND author_channel_id IS NOT NULL GROUP BY author, author_channel_id ORDER BY value DESC, author, author_channel_id LIMIT 1),
+        v AS (SELECT 'video' AS what, video_id AS item, CAST(view_count AS DOUBLE) AS value FROM vid WHERE view_count IS NOT NULL ORDER BY view_count DESC, video_id LIMIT 1) SELECT * FROM k UNION ALL SELECT * FROM f UNION ALL SELECT * FROM v""",
     "x1_scores": _SC + "SELECT comment_id, neg_prob, neu_prob, pos_prob, sentiment_score, sentiment_label, emotion, CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS compound_label FROM sc",
     "agg1_weighted_mean": _SC + f"SELECT round({V.WEIGHTED} + 1e-9, 3) AS weighted, round(avg(sentiment_score) + 1e-9, 3) AS flat, count(*) AS n FROM cdf",
     "f17_gap": _SC + f", g AS (SELECT video_id, {V.WEIGHTED} - avg(sentiment_score) AS gap FROM cdf WHERE video_id IS NOT NULL GROUP BY video_id) SELECT video_id, round(gap + 1e-9, 4) AS gap, abs(gap) >= 0.1 AS signal FROM g",

@@ -287,6 +287,11 @@ def test_forward_sums_all_segmentations():
     assert abs(alpha[0, 3, 0] - (0.1 * 0.3 * 0.1 + 0.1 * 0.05 + 0.2 * 0.1 + 0.02)) < 1e-12
 
 
+def test_words_as_they_are_scored():
+    assert [languages.normal_word(t) for t in "Ｃａｆé, wоrk #tag 12:30 ok! @some.one http://a.b".split()] == ["café", "work", "", "", "ok", "", ""]
+    assert languages.split_words("you v e r s a g e r y a mi") == ["you", *["0"] * 10, "mi"]
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([(x,) for x in ("en", "EN-us", "English", "por", "pt_BR", "unknown", "", None, "tl")], "l string")
     assert [r[0] for r in rows.select(languages.label_code("l")).collect()] == ["en", "en", "en", "pt", "pt", None, None, None, None]

@@ -79,6 +79,16 @@ def test_clusters_found(spark):
     assert all(i.split("-")[0] == leader.split("-")[0] for i, leader in got.items()) and len(got) >= 850
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_communities_by_joins_and_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(clusters, "ONE_TASK_EDGES", most)
+    rng = random.Random(6)
+    pairs = {(f"{g}{i:02d}", f"{g}{j:02d}") for g in "xyz" for i in range(30) for j in rng.sample(range(30), 5) if i != j} | {("x00", "y00")}
+    both = [(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])]
+    got = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(both, "a string, b string, w double").groupBy("a", "b").agg({"w": "sum"}).toDF("a", "b", "w")).collect()}
+    assert len(set(got.values())) == 3 and all(len({c for i, c in got.items() if i[0] == g}) == 1 for g in "xyz")
+
+
 def test_typical_members(spark):
     rows = spark.createDataFrame([("a", "a", 1.0), ("b", "a", 3.0), ("c", "a", 3.0), ("z", "z", 0.0)], "id string, leader_id string, degree double")
     assert {r["leader_id"]: (r["size"], r["typical"]) for r in clusters.described(rows, 2).collect()} == {"a": (3, ["b", "c"]), "z": (1, ["z"])}

@@ -7,35 +7,37 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 WS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space other than the blank, as characters.
+OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Edges of a word, as classes and not as \b, which engines define differently.
 B, E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 S = f"[{WS}]"
 
-# What links, handles and each spam rule look like, in the order of the rules.
+# What links, handles and each spam rule look like, in the order of the rules; words of which each rule needs one.
 URL = rf"https?://[^{WS}]+|www\.[^{WS}]+"
 HANDLE = r"@[A-Za-z0-9_.]{3,}"
 SPAM_RULES = (
-    (rf"https?://[^{WS}]+", "contains URL (http/https)"),
-    (rf"www\.[^{WS}]+", "contains URL (www)"),
-    (HANDLE, "contains @handle"),
-    (rf"{B}subscribe{S}+to{S}+my{E}", "subscribe-to-my plug"),
-    (rf"{B}check{S}+(?:out{S}+)?my{S}+(?:channel|page|profile){E}", "channel self-promo"),
-    (rf"{B}follow{S}+me{E}", "follow-me self-promo"),
-    (rf"{B}link{S}+in{S}+(?:my{S}+)?bio{E}", "link-in-bio promo"),
-    (rf"{B}(?:bitcoin|crypto|btc|eth|nft|usdt|solana){E}", "crypto mention"),
-    (rf"{B}giveaway{E}", "giveaway mention"),
-    (rf"{B}dm{S}+me{E}", "DM solicitation"),
-    (rf"{B}whatsapp{E}", "WhatsApp solicitation"),
-    (rf"{B}telegram{E}", "Telegram solicitation"),
-    (rf"{B}earn{S}+[$]", "earn-money scam"),
-    (rf"{B}make{S}+money{E}", "make-money scam"),
-    (rf"{B}cash{S}*app{E}", "CashApp solicitation"),
-    (rf"^{S}*first{S}*[!.]*{S}*$", "lone 'first' comment"),
-    (rf"{B}who'?s?{S}+(?:here|watching){S}+in{S}+2[0-9]{{3}}{E}", "who's watching in <year>"),
-    (rf"{B}still{S}+watching{S}+in{S}+2[0-9]{{3}}{E}", "still watching in <year>"),
-    (rf"{B}like{S}+if{S}+you'?r?e?{S}+(?:still{S}+)?watching{E}", "like-if-watching bait"),
-    (rf"{B}gang{S}*[!.]*$", "early gang comment"),
-    (rf"{B}notification{S}+squad{E}", "notification squad bot"),
+    (rf"https?://[^{WS}]+", "contains URL (http/https)", ("http",)),
+    (rf"www\.[^{WS}]+", "contains URL (www)", ("www.",)),
+    (HANDLE, "contains @handle", ("@",)),
+    (rf"{B}subscribe{S}+to{S}+my{E}", "subscribe-to-my plug", ("subscribe",)),
+    (rf"{B}check{S}+(?:out{S}+)?my{S}+(?:channel|page|profile){E}", "channel self-promo", ("check",)),
+    (rf"{B}follow{S}+me{E}", "follow-me self-promo", ("follow",)),
+    (rf"{B}link{S}+in{S}+(?:my{S}+)?bio{E}", "link-in-bio promo", ("link",)),
+    (rf"{B}(?:bitcoin|crypto|btc|eth|nft|usdt|solana){E}", "crypto mention", ("bitcoin", "crypto", "btc", "eth", "nft", "usdt", "solana")),
+    (rf"{B}giveaway{E}", "giveaway mention", ("giveaway",)),
+    (rf"{B}dm{S}+me{E}", "DM solicitation", ("dm",)),
+    (rf"{B}whatsapp{E}", "WhatsApp solicitation", ("whatsapp",)),
+    (rf"{B}telegram{E}", "Telegram solicitation", ("telegram",)),
+    (rf"{B}earn{S}+[$]", "earn-money scam", ("earn",)),
+    (rf"{B}make{S}+money{E}", "make-money scam", ("make",)),
+    (rf"{B}cash{S}*app{E}", "CashApp solicitation", ("cash",)),
+    (rf"^{S}*first{S}*[!.]*{S}*$", "lone 'first' comment", ("first",)),
+    (rf"{B}who'?s?{S}+(?:here|watching){S}+in{S}+2[0-9]{{3}}{E}", "who's watching in <year>", ("who",)),
+    (rf"{B}still{S}+watching{S}+in{S}+2[0-9]{{3}}{E}", "still watching in <year>", ("still",)),
+    (rf"{B}like{S}+if{S}+you'?r?e?{S}+(?:still{S}+)?watching{E}", "like-if-watching bait", ("like",)),
+    (rf"{B}gang{S}*[!.]*$", "early gang comment", ("gang",)),
+    (rf"{B}notification{S}+squad{E}", "notification squad bot", ("notification",)),
 )
 # Signals of sarcasm.
 SARCASM = (
@@ -66,27 +68,48 @@ def nfc(text: Column) -> Column:
     return F.when(safe.rlike(r"^\p{ASCII}*$"), safe).otherwise(composed)
 
 
+def collapsed(text: Column) -> Column:
+    """White space of any kind as single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS)), " {2,}", " "))
+
+
+def _has(low: Column, parts: tuple[str, ...]) -> Column:
+    test = F.lit(False)
+    for p in parts:
+        test = test | low.contains(p)
+    return test
+
+
 def cleaned(text: Column) -> Column:
-    """Composed text without links and handles, white space collapsed; null gives the empty text."""
-    out = F.regexp_replace(nfc(text), "(?iu)" + URL, " ")
-    out = F.regexp_replace(out, HANDLE, " ")
-    return F.trim(F.regexp_replace(out, f"[{WS}]+", " "))
+    """Composed text without links and handles, white space collapsed; null gives the empty text.
+
+    Patterns run only on texts that hold what they must begin with.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = nfc(text)
+    out = F.when(_has(low, ("http", "www.")), F.regexp_replace(out, "(?iu)" + URL, " ")).otherwise(out)
+    out = F.when(text.contains("@"), F.regexp_replace(out, HANDLE, " ")).otherwise(out)
+    return collapsed(out)
 
 
 def repeat_key(text: Column) -> Column:
     """MD5 of what is the same up to case, symbols and punctuation."""
-    out = F.regexp_replace(F.lower(text), r"[\p{So}\p{Sk}]", "")
-    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}_{WS}]", "")
-    return F.md5(F.trim(F.regexp_replace(out, f"[{WS}]+", " ")))
-
-
-def spam_reason(original: Column, clean: Column) -> Column:
-    """Why a comment is spam: too little text, or the first rule that its original text meets; null if none."""
-    few = (F.length(clean) < MIN_CLEANED_LENGTH) | (F.size(F.regexp_extract_all(clean, F.lit("[a-zA-Z]{2,}"), 0)) < MIN_TOKEN_COUNT)
-    reason = F.when(few, "too little text")
-    any_rule = matches(original, "|".join(f"(?:{p})" for p, _ in SPAM_RULES))
-    first = F.coalesce(*[F.when(matches(original, p), F.lit(why)) for p, why in SPAM_RULES])
-    return reason.otherwise(F.when(any_rule, first))
+    out = F.regexp_replace(F.lower(text), rf"[^a-z 0-9_\p{{L}}\p{{N}}{WS}]+", "")
+    return F.md5(collapsed(out))
+
+
+def too_little(clean: Column) -> Column:
+    """Fewer characters than worth a look, or not two runs of ASCII letters."""
+    return (F.length(clean) < MIN_CLEANED_LENGTH) | ~clean.rlike("(?s)[a-zA-Z]{2,}[^a-zA-Z].*?[a-zA-Z]{2}")
+
+
+def spam_reason(original: Column, low: Column, clean: Column) -> Column:
+    """Why a comment is spam: too little text, or the first rule that its original text meets; null if none.
+
+    ``low`` is the lower-cased original: a rule's pattern runs only where one of its words occurs at all.
+    """
+    rules = [F.when(_has(low, parts) & matches(original, p), F.lit(why)) for p, why, parts in SPAM_RULES]
+    return F.when(too_little(clean), "too little text").otherwise(F.coalesce(*rules))
 
 
 def words(text: Column) -> Column:

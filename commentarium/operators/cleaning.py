@@ -22,11 +22,14 @@ STOPWORDS = {
 
 def language_by_stopwords(clean: Column) -> Column:
     """Two-letter code of the language with most small words, ties to the first code; 'ru' for mostly Cyrillic; else 'und'."""
-    w = T.words(clean)
-    counts = [F.struct(T.count_of(w, s.split()).alias("n"), F.lit(-k).alias("k"), F.lit(code).alias("code")) for k, (code, s) in enumerate(STOPWORDS.items())]
-    best = F.array_max(F.array(*counts))
-    cyrillic = F.size(F.filter(w, lambda t: t.rlike(r"^\p{IsCyrillic}+$")))
-    guess = F.when(cyrillic * 2 > F.size(w), "ru").otherwise(F.when(best["n"] > 0, best["code"]).otherwise("und"))
+    def judged(w: Column) -> Column:
+        counts = [F.struct(T.count_of(w, s.split()).alias("n"), F.lit(-k).alias("k"), F.lit(code).alias("code")) for k, (code, s) in enumerate(STOPWORDS.items())]
+        cyrillic = F.size(F.filter(w, lambda t: t.rlike(r"^\p{IsCyrillic}+$")))
+        return F.struct(F.array_max(F.array(*counts)).alias("best"), (cyrillic * 2 > F.size(w)).alias("cyrillic"))
+
+    # the words are made once and bound by the outer transform
+    seen = F.transform(F.array(T.words(clean)), judged)[0]
+    guess = F.when(seen["cyrillic"], "ru").otherwise(F.when(seen["best"]["n"] > 0, seen["best"]["code"]).otherwise("und"))
     return F.when(F.length(clean) < T.MIN_LANGUAGE_LENGTH, "und").otherwise(guess)
 
 
@@ -38,7 +41,8 @@ def clean_comments(df: DataFrame, order: str = "ordinal", detector: Callable[[Co
     many comments of one text (or of none) never meet in one task. ``detector`` may be any expression of the cleaned text.
     """
     out = df.withColumn("cleaned_text", T.cleaned(F.col("text")))
-    out = out.withColumn("spam_reason", T.spam_reason(F.coalesce("text", F.lit("")), F.col("cleaned_text")))
+    out = out.withColumn("__low", F.lower(F.coalesce("text", F.lit(""))))
+    out = out.withColumn("spam_reason", T.spam_reason(F.coalesce("text", F.lit("")), F.col("__low"), F.col("cleaned_text"))).drop("__low")
     out = out.withColumn("is_spam", F.col("spam_reason").isNotNull()).withColumn("repeat_key", T.repeat_key(F.col("cleaned_text")))
     if detector is not None:
         out = out.withColumn("language", detector(F.col("cleaned_text")))

@@ -42,7 +42,7 @@ def words_in(words: list[str] | str) -> str:
     return "(" + ", ".join(q(w) for w in dict.fromkeys(words)) + ")" if words else "('')"
 
 
-_REASONS = " ".join(f"WHEN regexp_matches(text, {q(p)}, 'i') THEN {q(why)}" for p, why in T.SPAM_RULES)
+_REASONS = " ".join(f"WHEN regexp_matches(text, {q(p)}, 'i') THEN {q(why)}" for p, why, _ in T.SPAM_RULES)
 _COUNTS = ", ".join(f"{{'n': len(list_filter(w, lambda t: t IN {words_in(s)})), 'k': {-k}, 'code': '{c}'}}" for k, (c, s) in enumerate(STOPWORDS.items()))
 _EMOTIONS = ", ".join(
     f"{{'n': {'0' if not s else f'len(list_filter(w, lambda t: t IN {words_in(s)}))'}, 'k': {-k}, 'name': '{e}'}}" for k, (e, s) in enumerate(scoring.EMOTIONS.items())

@@ -45,5 +45,5 @@ def sentiment_per_video(scored: DataFrame) -> DataFrame:
 
 def keyword_hits(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """A row per comment and keyword found in it; each keyword is a constant pattern, compiled once a task."""
-    found = F.array_compact(F.array(*[F.when(F.coalesce(F.lower(F.col(text)).rlike("(?iu)" + p), F.lit(False)), F.lit(k)) for k, p in patterns.items()]))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(F.lower(F.col(text)).rlike("(?iu)" + p), F.lit(False)), F.lit(k)) for k, p in patterns.items()]).cast("array<string>"))
     return df.withColumn("keyword", F.explode(found))

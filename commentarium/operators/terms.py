@@ -15,6 +15,7 @@ STOPWORDS = (
     "some any one two new s t re ve ll d m im u ur r lol dont cant wont hes shes thats yeah yep yes nah oh hey hi bro man guy"
 ).split()
 MAX_TERMS, MIN_DF = 500, 2
+KEYWORDS = 20
 
 
 def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DF) -> DataFrame:
@@ -22,18 +23,20 @@ def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS
 
     Terms are runs of three and more ASCII letters that are no stop words, and pairs of neighbours among them; kept
     are those in ``min_df`` texts, of these the ``max_terms`` with most occurrences. Only this bounded list is sent to
-    every task.
+    every task. ``ident`` is unique.
     """
     w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), 0), lambda t: ~t.isin(STOPWORDS))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    texts = written(df.select(F.col(ident).alias("id"), w.alias("w")), "words")  # read three times below
-    terms = texts.select("id", F.explode(F.concat("w", pairs)).alias("word"))
-    tf = terms.groupBy("id", "word").agg(F.count("*").alias("tf"))
-    vocabulary = tf.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
+    texts = written(df.select(F.col(ident).alias("id"), w.alias("w")).select("id", F.concat("w", pairs).alias("t")), "words")  # read three times below
+    once = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("word"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("t", lambda x: F.struct(x.alias("word"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    # counted in the tasks first, so that words are shuffled and not occurrences
+    vocabulary = texts.select(F.inline(F.concat(once, each))).groupBy("word").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter(F.col("df") >= min_df)
     kept = vocabulary.orderBy(F.desc("cf"), "word").limit(max_terms)
     n = texts.agg(F.count("*").alias("n_docs"))
-    idf = kept.join(F.broadcast(n)).select("word", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = tf.join(F.broadcast(idf), "word").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
+    idf = kept.join(F.broadcast(n)).select("word", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = texts.select("id", F.explode("t").alias("word")).join(F.broadcast(idf), "word").groupBy("id", "word").agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
+    weights = tf.withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return weights.join(norms, "id").groupBy("word").agg(F.sum(F.col("x") / F.col("norm")).alias("score"), F.count("*").alias("count"))
 
@@ -41,3 +44,8 @@ def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS
 def trending(df: DataFrame, ident: str, text: str, top: int = 30) -> DataFrame:
     ranked = term_scores(df, ident, text).withColumn("score", F.round(F.col("score") + 1e-9, 3))
     return ranked.orderBy(F.desc("score"), "word").limit(top)
+
+
+def keywords(df: DataFrame, ident: str, text: str, top: int = KEYWORDS) -> list[str]:
+    """The ``top`` terms that stand out, best first; a bounded list, as each becomes a pattern of its own."""
+    return [r["word"] for r in trending(df, ident, text, top).collect()]

@@ -66,6 +66,7 @@ def stat7_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stat8_keyword_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    """t-test of the seven fixed keywords, as the SQL has them; ``stat8_trending_shifts`` tests the terms of the comments themselves."""
     sure = sentiment.confident(V.scored(spark, sf))
     hits = sentiment.keyword_hits(sure, "text", {k: T.keyword_pattern(k, False) for k in KEYWORDS})
     return A.mean_shift(hits, "keyword", "keyword", sure, A.MIN_MENTIONS).select("item", "n", F.round(F.col("t") + 1e-9, 3).alias("t"), "delta", "m")
@@ -76,13 +77,26 @@ def _stored_scores(spark: SparkSession, sf: str) -> DataFrame:
     return written(V.scored(spark, sf).select("comment_id", "video_id", "text", "sentiment_score", "sentiment_label"), "scored")
 
 
+def stat8_trending_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    """t-test of the terms that stand out in all clean comments: statistic, difference, size of the family."""
+    rows = _stored_scores(spark, sf)
+    sure = sentiment.confident(rows)
+    hits = sentiment.keyword_hits(sure, "text", {k: T.keyword_pattern(k, False) for k in terms.keywords(rows, "comment_id", "text")})
+    return A.mean_shift(hits, "keyword", "keyword", sure, A.MIN_MENTIONS).select("item", "n", F.round(F.col("t") + 1e-9, 3).alias("t"), "delta", "m")
+
+
+def _alerts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stored_scores(spark, sf)
+    return A.all_alerts(rows, terms.keywords(rows, "comment_id", "text"))
+
+
 def stat9_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """All three families with p-values, both corrections and what fires."""
-    return A.all_alerts(_stored_scores(spark, sf), list(KEYWORDS))
+    return _alerts(spark, sf)
 
 
 def agg17_alert_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return A.family_summary(A.all_alerts(_stored_scores(spark, sf), list(KEYWORDS)))
+    return A.family_summary(_alerts(spark, sf))
 
 
 def stat5_corrections(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +150,7 @@ def ml9_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     agg5_fan_features, ml1_standard_scores, ml5_rule_labels, ml2_segments, ml6_segment_records, ml3_k_log, tfidf_trending, stat6_video_shifts, stat7_volume,
-    stat8_keyword_shifts, stat9_alerts, agg17_alert_summary, stat5_corrections, agg18_metrics, agg18_f1, ml10_thresholds, ml10_cuts, ml9_quotas, ml9_sample,
+    stat8_keyword_shifts, stat8_trending_shifts, stat9_alerts, agg17_alert_summary, stat5_corrections, agg18_metrics, agg18_f1, ml10_thresholds, ml10_cuts, ml9_quotas, ml9_sample,
 )}
 
 _SC = "WITH" + V.SCORED_SQL

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from commentarium.functions import scalars as X
 from commentarium.functions import text as T
-from commentarium.operators import scoring, sentiment
+from commentarium.operators import scoring, sentiment, terms
 from commentarium.operators.sentiment import rounded
 from commentarium.plans import views as V
+from commentarium.session import written
 
 KEYWORDS = ("sourdough experiment", "drone shot", "boss fight", "soundtrack", "pottery lesson", "chess endgame", "second chapter")
 
@@ -131,10 +132,8 @@ def agg16_averages(spark: SparkSession, sf: str) -> DataFrame:
     return V.videos(spark, sf).agg(*[F.avg(c).cast("bigint").alias(f"avg_{c}") for c in ("view_count", "like_count", "comment_count", "duration_secs")])
 
 
-def dq3_insights(spark: SparkSession, sf: str) -> DataFrame:
-    """The keyword, the fan and the video that stand out most, each with its number."""
-    rows = V.scored(spark, sf)
-    hits = sentiment.keyword_hits(rows, "text", {k: T.keyword_pattern(k) for k in KEYWORDS})
+def _insights(spark: SparkSession, sf: str, rows: DataFrame, keywords: tuple[str, ...] | list[str]) -> DataFrame:
+    hits = sentiment.keyword_hits(rows, "text", {k: T.keyword_pattern(k) for k in keywords})
     keyword = hits.groupBy(F.col("keyword").alias("item")).agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "item").limit(1)
     fans = rows.filter(F.col("author").isNotNull() & F.col("author_channel_id").isNotNull())
     fan = fans.groupBy(F.col("author").alias("item"), "author_channel_id").agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "item", "author_channel_id").limit(1).select("item", "value")
@@ -143,6 +142,17 @@ def dq3_insights(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("what", "item", "value")
 
 
+def dq3_insights(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyword, the fan and the video that stand out most, each with its number; the keyword is one of seven fixed ones, as the SQL has them."""
+    return _insights(spark, sf, V.scored(spark, sf), KEYWORDS)
+
+
+def dq3_trending_insights(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the term that stands out most in the comments themselves."""
+    rows = written(V.scored(spark, sf).select("comment_id", "author", "author_channel_id", "text"), "scored")  # read four times
+    return _insights(spark, sf, rows, terms.keywords(rows, "comment_id", "text", 1))
+
+
 def dq4_views_over_time(spark: SparkSession, sf: str) -> DataFrame:
     """Views, likes and engagement of each video by its time, for the plots."""
     rate = X.engagement_rate(F.col("like_count"), F.col("comment_count"), F.col("view_count")).alias("engagement_rate")
@@ -150,7 +160,7 @@ def dq4_views_over_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    agg16_averages, dq3_insights, dq4_views_over_time,
+    agg16_averages, dq3_insights, dq3_trending_insights, dq4_views_over_time,
     x1_scores, agg1_weighted_mean, f17_gap, agg2_sentiment_over_time, agg3_top_fans, agg4_keywords, dq8_label_shares, dq11_emotions, dq12_drill_down,
     dq13_top_per_emotion, dq14_extremes, dq1_header, dq5_top_videos, agg14_best_videos, agg6_topics,
 )}

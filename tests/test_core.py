@@ -157,6 +157,27 @@ def test_keyword_patterns(spark):
     assert [tuple(r) for r in rows.select(loose, strict).collect()] == [(True, False), (True, True), (False, False), (False, False)]
 
 
+def other_comments(spark, folder):
+    """Comments about a subject that no fixed list names; one term only in sad ones."""
+    names = "video_id string, author string, author_channel_id string, text string, cleaned_text string, like_count bigint, reply_count bigint, published_at string, comment_id string, ordinal bigint"
+    texts = [f"wonderful great telescope build number {w} love" if k % 2 else f"terrible awful eyepiece wobble number {w} hate" for k, w in enumerate(f"{a}{b}x" for a in "abcdefgh" for b in "mnopqrst")]
+    rows = [(f"v{k % 3}", "a", "c", t, t, 1, 0, "2024-01-01T00:00:00Z", f"c{k}", k) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, names).write.parquet(f"{folder}/comments.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/videos.parquet").limit(5).write.parquet(f"{folder}/videos.parquet")
+    return str(folder)
+
+
+def test_keywords_come_from_the_comments(spark, small, tmp_path):
+    sf, found = other_comments(spark, tmp_path), registry.queries()
+    alerts = [r for r in found["stat9_alerts"](spark, sf).collect() if r["family"] == "keyword"]
+    assert {"telescope", "eyepiece"} <= {r["item"] for r in alerts} and {r["m"] for r in alerts} == {len(alerts)}
+    assert {r["item"]: r["fired"] for r in alerts}["eyepiece"]
+    assert {r["family"]: r["m"] for r in found["agg17_alert_summary"](spark, sf).collect()}["keyword"] == len(alerts)
+    assert {r["item"] for r in found["stat8_trending_shifts"](spark, sf).collect()} == {r["item"] for r in alerts}
+    assert "keyword" in {r["what"] for r in found["dq3_trending_insights"](spark, sf).collect()}
+    assert sentiment.keyword_hits(spark.read.parquet(f"{sf}/comments.parquet"), "text", {}).count() == 0
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 

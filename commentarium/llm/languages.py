@@ -312,13 +312,13 @@ def _segments(texts: list[list[int]], evidence: np.ndarray) -> Iterator[tuple[in
                 confidence = 1 / (1 + np.exp(min(60.0, rest.max() - sums[lang])))
                 runs.append((int(r), lang, int(a), int(b) - 1, int(fits[k, a:b].sum()), float(confidence), sums[lang]))
             main = max(runs, key=lambda x: (x[4], x[6]))[1]
-            for run in runs:
-                if run[4]:
+            if scores[k, :n].any():
+                for run in runs:
                     yield (*run[:6], run[1] == main)
         at = end
 
 
-def _labelling(name: str):
+def _labelling(name: str, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(name)
         known: dict[str, int] = {}
@@ -344,11 +344,13 @@ def _labelling(name: str):
             if fresh:
                 evidence = np.concatenate([evidence, model.evidence(fresh)])
             found = list(_segments(texts, evidence))
+            if every:
+                found += [(k, None, None, None, 0, 0.0, True) for k in sorted(set(range(len(texts))) - {x[0] for x in found})]
             rows, langs, first, last, words, sure, main = zip(*found) if found else ([],) * 7
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array([model.languages[x] for x in langs], pa.string()),
+                    pa.array([None if x is None else model.languages[x] for x in langs], pa.string()),
                     *(pa.array(x, pa.int32()) for x in (first, last, words)),
                     pa.array(sure, pa.float64()),
                     pa.array(main, pa.bool_()),
@@ -386,28 +388,29 @@ def refit(model: Model, samples: list[tuple[str, str]], labelled: DataFrame, ide
         coded.append(row)
     found: dict[int, set[str]] = {}
     for r, lang, _, _, n, confidence, main in _segments(coded, model.evidence(words)):
-        if main or n >= SENTENCE_WORDS:
+        if n and (main or n >= SENTENCE_WORDS):
             found.setdefault(r, set()).add(model.languages[lang] if confidence > 0.9 else "")
     agreed = [(lang, t) for k, (lang, t) in enumerate(texts) if found.get(k) == {lang}]
     return train([*samples, *agreed], model.names)
 
 
-def segments(df: DataFrame, ident: str, text: str, model: Model) -> DataFrame:
+def segments(df: DataFrame, ident: str, text: str, model: Model, every: bool = False) -> DataFrame:
     """``ident, lang, first_word, last_word, words, confidence, main`` of every part of every text in one language.
 
     Words are split at white space. A word's probability in a language sums over all its segmentations into pieces
     of the fixed vocabulary (forward algorithm); over the text, the best sequence of languages is found where each
     change costs, so single foreign words don't change it. ``words`` counts those that clearly belong to the
-    language (names, numbers and tags don't); ``main`` marks the language with most of them.
+    language (names, numbers and tags don't) and may be 0, where the confidence tells how weak the guess is; ``main``
+    marks the language with most of them.
 
-    Null, empty and wordless texts give no rows; null ids stay null; repeated rows give repeated rows; an empty table
+    Null, empty and wordless texts give no rows, with ``every`` one without language and with confidence 0; null ids stay null; repeated rows give repeated rows; an empty table
     gives no rows; other columns are ignored, whatever their names. Texts are read whole, however long.
     """
     name = ship_bytes(df.sparkSession, pickle.dumps((model.languages, model.names, model.prob)), ".languages")
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    rows = (df if every else df.filter(F.col(text).isNotNull())).select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, lang string, first_word int, last_word int, words int, confidence double, main boolean"
-    return rows.mapInArrow(_labelling(name), schema).withColumnRenamed("id", ident)
+    return rows.mapInArrow(_labelling(name, every), schema).withColumnRenamed("id", ident)
 
 
 def label_code(label: str):
@@ -417,26 +420,27 @@ def label_code(label: str):
     return F.element_at(F.create_map(*pairs), spelled)
 
 
-def comment_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comment_segments(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
+    """Parts of every comment, or of those with at least ``MIN_CHARS`` and ``MIN_WORDS``; the model is fitted on the latter in both cases."""
     samples = load(spark, sf_dir, "language_samples")
     model = fit(samples, "lang", "text", "sample_id")
     rows = load(spark, sf_dir, "comments").filter(F.col("comment_id").isNotNull())
-    rows = rows.filter((F.length("cleaned_text") >= MIN_CHARS) & (F.size(F.split(F.trim("cleaned_text"), r"\s+")) >= MIN_WORDS))
     coded = rows.select("comment_id", label_code("language").alias("label"), "cleaned_text")
+    long = coded.filter((F.length("cleaned_text") >= MIN_CHARS) & (F.size(F.split(F.trim("cleaned_text"), r"\s+")) >= MIN_WORDS))
     clean = [(r[0], r[1]) for r in samples.orderBy("sample_id").select("lang", "text").limit(TRAIN_ROWS).collect()]
-    model = refit(model, clean, coded, "comment_id", "label", "cleaned_text")
-    keyed = coded.select(F.struct("comment_id", "label").alias("key"), "cleaned_text")
-    return segments(keyed, "key", "cleaned_text", model).select("key.comment_id", "key.label", "lang", "first_word", "last_word", "words", "confidence", "main")
+    model = refit(model, clean, long, "comment_id", "label", "cleaned_text")
+    keyed = (coded if every else long).select(F.struct("comment_id", "label").alias("key"), "cleaned_text")
+    return segments(keyed, "key", "cleaned_text", model, every).select("key.comment_id", "key.label", "lang", "first_word", "last_word", "words", "confidence", "main")
 
 
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of each part of each comment."""
-    return comment_segments(spark, sf_dir).drop("label", "main").distinct()
+    """Language and confidence of each part of each comment, however short; a comment without words has one row without language and with confidence 0."""
+    return comment_segments(spark, sf_dir, True).drop("label", "main").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of which a comment has a sentence and which its label doesn't name. Text and label never differ between deliveries."""
-    parts = comment_segments(spark, sf_dir)
+    """Languages of which a comment of some length has a sentence and which its label doesn't name. Text and label never differ between deliveries."""
+    parts = comment_segments(spark, sf_dir, False).filter(F.col("words") > 0)
     there = parts.filter(F.col("main") | (F.col("words") >= SENTENCE_WORDS))
     return there.filter(F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("comment_id", "lang").distinct()
 

@@ -312,6 +312,24 @@ def test_languages_of_awkward_texts(spark, language_model):
     assert found(spark, language_model[0], []) == []
 
 
+def test_every_comment_has_a_language_or_none(spark, small):
+    rows = load(spark, small, "comments").filter("comment_id IS NOT NULL").select("comment_id", "cleaned_text").distinct()
+    got = collections.defaultdict(list)
+    for x in languages.p7_segments(spark, small).collect():
+        got[x["comment_id"]].append(x)
+    texts = {x["comment_id"]: x["cleaned_text"] or "" for x in rows.collect()}
+    assert set(got) == set(texts)
+    short = [k for k, t in texts.items() if t.isascii() and len(t) < languages.MIN_CHARS and t.replace(" ", "").isalpha()]
+    assert short and all(x["lang"] and x["confidence"] > 0 for k in short for x in got[k])
+
+
+def test_weak_words_and_no_words(spark, language_model):
+    weak = found(spark, language_model[0], [("w", "zq xkvw"), ("n", "12:30 !!")])
+    assert weak and {x["id"] for x in weak} == {"w"} and all(x["lang"] and 0 < x["confidence"] < 1 for x in weak)
+    every = languages.segments(frame(spark, [("n", "12:30 !!"), ("z", None)]), "id", "text", language_model[0], every=True).collect()
+    assert sorted((x["id"], x["lang"], x["confidence"]) for x in every) == [("n", None, 0.0), ("z", None, 0.0)]
+
+
 # 8 tokens
 
 TOKENIZER = os.path.join(tokens.TOKENIZER_DIR, "byte_bpe_50k.json")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,25 +17,29 @@ from pyspark.sql import functions as F
 
 from commentarium.llm.lookalikes import Rewriter
 from commentarium.session import ship_bytes
-from commentarium.tables import hashed_sample, load
+from commentarium.tables import load
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *CATEGORIES)
-#: Most labelled rows the model is fitted on.
-TRAIN_ROWS = 50_000
+#: Most labelled rows, and most rows known to be harmless, that the model is fitted on.
+TRAIN_ROWS, HARMLESS_ROWS = 50_000, 5_000
 #: Buckets of hashed features, size of an embedding, lengths of character n-grams.
 BUCKETS, DIM, GRAMS = 1 << 17, 24, (3, 4, 5)
-EPOCHS, BATCH, RATE, DECAY, SEED = 14, 256, 0.01, 1e-4, 7
-#: Unlabelled texts that training sees as mostly harmless, and the weight of a labelled example against one of them.
-UNLABELLED_ROWS, LABELLED_WEIGHT = 20_000, 10.0
-#: Unlabelled stretches that score at least so high after a first training are left out of the second.
-UNKNOWN_FROM = 0.35
+EPOCHS, BATCH, RATE, DECAY, SEED = 10, 256, 0.01, 1e-4, 7
+#: A phrase of ``PHRASE`` words, taken every ``STRIDE`` words of a sentence, that this share of all texts holds counts as harmless.
+PHRASE, STRIDE, COMMON = 4, 2, 0.001
+#: How often a labelled example is shown, each time with other names, and its weight against a harmless stretch.
+COPIES, LABELLED_WEIGHT = 4, 10.0
+#: Stretches drawn from a harmless sentence; pairs made of a common phrase and another one.
+STRETCHES, PAIRS = 6, 8
+#: A capitalised word in at most so many labelled texts counts as a name, which may be any.
+NAME_TEXTS = 2
 #: Labelled examples whose label the first training finds less likely than this count as wrongly labelled.
 DOUBTED_BELOW = 0.25
-#: Words in a window; a text's score is that of its worst window, so that long texts don't dilute it.
-WINDOWS = (6, 9, 13)
+#: Words in a window inside a sentence; a text's score is that of its worst window, so that long texts don't dilute it.
+WINDOWS = (7, 14)
 #: A category applies from this probability on.
-THRESHOLD = 0.35
+THRESHOLD = 0.42
 # Digits and signs written for letters.
 LEET = str.maketrans("0134578@$", "oieastbas")
 
@@ -42,7 +47,9 @@ SPELLED = regex.compile(r"(?<![\p{L}\p{N}])([\p{L}\p{N}])(?:([ ._*\-])([\p{L}\p{
 REPEATED = regex.compile(r"(.)\1{2,}")
 #: Quick looks that tell whether one of the slower patterns can match.
 MAY_BE_SPELLED, MAY_BE_REPEATED = re.compile(r"(?:^|[^\w])\w([ ._*\-])\w\1\w"), re.compile(r"(.)\1\1")
-TOKEN = re.compile(r"(?:[^\W_]|[*@$])+|[.!?]")
+TOKEN = re.compile(r"(?:[^\W_]|[*@$])+")
+SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$)|\n+")
+NAME = re.compile(r"\b[A-ZÀ-ÖØ-Þ][^\W\d_]*[^\W\d_A-ZÀ-ÖØ-Þ][^\W\d_]*")
 PARTS = regex.compile(r"[\p{L}\p{N}]")
 #: Characters in disguise: accents apart, invisible, full-width, ligature and mathematical forms, words of two scripts.
 SUSPECT = re.compile("[̀-ͯ​-‏­⁠﻿＀-￯ﬀ-ﬆ\U0001d400-\U0001d7ff]|[a-zA-Z]\\w*[Ͱ-ӿ]|[Ͱ-ӿ]\\w*[a-zA-Z]")
@@ -74,6 +81,11 @@ def tokens(text: str) -> list[str]:
     return [plain_word(w) for w in TOKEN.findall(plain(text))]
 
 
+def sentences(text: str) -> list[str]:
+    """Plain sentences of a text."""
+    return [s for s in SENTENCE_END.split(plain(text)) if s]
+
+
 def _spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -172,50 +184,73 @@ def _optimise(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rn
     return logits
 
 
-def train(examples: list[tuple[str, str]], unlabelled: list[str]) -> np.ndarray:
+def _shown(examples: list[tuple[str, str]], harmless: list[str], rng: np.random.Generator) -> list[tuple[list[str], int, float]]:
+    """(words, class, weight) of labelled examples, several times each: with other names, and with harmless words around them.
+
+    Names must not tell anything, and comments go on about other things.
+    """
+    held = Counter(n for text, _ in examples for n in set(NAME.findall(text)))
+    names = sorted({m.group() for text in harmless for m in NAME.finditer(text) if m.start()}) or sorted(n for n, k in held.items() if k <= NAME_TEXTS)
+
+    def renamed(text: str) -> str:
+        return NAME.sub(lambda m: names[int(rng.integers(len(names)))] if held[m.group()] <= NAME_TEXTS else m.group(), text)
+
+    around = [w for w in (tokens(t) for t in [*(t for t, y in examples if y == CLASSES[0]), *harmless]) if w] or [["so"]]
+    out = []
+    for text, label in examples:
+        y = CLASSES.index(label)
+        for k in range(COPIES):
+            words = tokens(renamed(text) if k and names else text)
+            if not words:
+                break
+            out.append((words, y, LABELLED_WEIGHT / COPIES))
+            if y:
+                other = around[int(rng.integers(len(around)))]
+                half = LABELLED_WEIGHT / COPIES / 2
+                out += [([*other[-3:], *words], y, half), ([*words, *other[:3]], y, half)]
+    return out
+
+
+def _background(harmless: list[str], phrases: list[str], rng: np.random.Generator) -> list[list[str]]:
+    """Stretches of harmless sentences; common phrases alone and followed by another one."""
+    out = []
+    for text in harmless:
+        for sentence in sentences(text):
+            if words := tokens(sentence):
+                for _ in range(STRETCHES):
+                    size = int(rng.choice(WINDOWS))
+                    at = int(rng.integers(0, max(1, len(words) - size + 1)))
+                    out.append(words[at : at + size])
+    common = [w for p in phrases if (w := tokens(p))]
+    for words in common:
+        out += [words, *([*words, *common[int(rng.integers(len(common)))]] for _ in range(PAIRS))]
+    return out
+
+
+def train(examples: list[tuple[str, str]], harmless: list[str], phrases: list[str]) -> np.ndarray:
     """Logits of every bucket (embedding times softmax weights), with the bias as a last row.
 
-    Labelled examples are few, so stretches of unlabelled texts take part as harmless at a small weight. After a
-    first training, those that score high are no longer taken for harmless, and labels that the model finds unlikely
-    are left out as wrong, before the model is trained again. Examples of a category are also shown with harmless words around
-    them, as comments go on about other things.
+    ``harmless`` are texts known to be so; ``phrases`` are common in the corpus, so taken for harmless. No other text
+    is: what neither the labels nor those show stays open, and rare wordings aren't taught as harmless. After a first
+    training, labels that the model finds unlikely are left out as wrong, before the model is trained again.
     """
     rng = np.random.default_rng(SEED)
-    held = [(w, CLASSES.index(label)) for text, label in examples if (w := tokens(text))]
-    stretches = []
-    for text in unlabelled:
-        words = tokens(text)
-        if words:
-            size = int(rng.choice(WINDOWS))
-            at = int(rng.integers(0, max(1, len(words) - size + 1)))
-            stretches.append(words[at : at + size])
-    harmless = [w for w, y in held if y == 0] or [["."]]
-    known = [(w, y, LABELLED_WEIGHT) for w, y in held]
-    for w, y in held:
-        if y:
-            other = harmless[int(rng.integers(len(harmless)))]
-            known += [([*other[-3:], *w], y, LABELLED_WEIGHT / 2), ([*w, *other[:3]], y, LABELLED_WEIGHT / 2)]
+    known, background = _shown(examples, harmless, rng), _background(harmless, phrases, rng)
+    if not known:
+        return np.zeros((BUCKETS + 1, len(CLASSES)), dtype=np.float32)
     features = _text_features([w for w, _, _ in known])
-    more = _text_features(stretches) if stretches else []
-
-    def fitted(extra: list[tuple[int, int, float]]) -> np.ndarray:
-        labels = np.array([y for _, y, _ in known] + [y for _, y, _ in extra])
-        weight = np.array([w for _, _, w in known] + [w for _, _, w in extra])
-        return _optimise([*features, *(more[k] for k, _, _ in extra)], labels, weight, rng)
+    more = _text_features(background) if background else []
 
-    def chances(rows: list[np.ndarray]) -> np.ndarray:
-        sums = np.stack([logits[f].mean(axis=0) for f in rows]) + logits[-1]
-        p = np.exp(sums - sums.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+    def fitted(chosen: np.ndarray) -> np.ndarray:
+        labels = np.array([known[k][1] for k in chosen] + [0] * len(more))
+        weight = np.array([known[k][2] for k in chosen] + [1.0] * len(more))
+        return _optimise([*(features[k] for k in chosen), *more], labels, weight, rng)
 
-    logits = fitted([(k, 0, 1.0) for k in range(len(more))])
-    if not more:
-        return logits
-    agreed = chances(features)[np.arange(len(known)), [y for _, y, _ in known]] >= DOUBTED_BELOW
-    known = [x for x, ok in zip(known, agreed) if ok]
-    features = [x for x, ok in zip(features, agreed) if ok]
-    p = chances(more)
-    return fitted([(k, 0, 1.0) for k in np.flatnonzero(p[:, 1:].max(axis=1) < UNKNOWN_FROM)])
+    logits = fitted(np.arange(len(known)))
+    sums = np.stack([logits[f].mean(axis=0) for f in features]) + logits[-1]
+    p = np.exp(sums - sums.max(axis=1, keepdims=True))
+    agreed = (p / p.sum(axis=1, keepdims=True))[np.arange(len(known)), [y for _, y, _ in known]] >= DOUBTED_BELOW
+    return logits if agreed.all() or not agreed.any() else fitted(np.flatnonzero(agreed))
 
 
 @lru_cache(maxsize=2)
@@ -241,67 +276,51 @@ class Scorer:
         self.hashes = np.concatenate([self.hashes, hashes])
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """The probabilities of ``CATEGORIES`` in each text's worst window of each category."""
+        """The probabilities of ``CATEGORIES``, each in the text's window where it is likeliest. Windows lie within sentences."""
         if len(self.known) > 500_000:
             self.__init__(self.logits)
-        fresh, index, lengths = [], [], []
-        for text in texts:
-            words = TOKEN.findall(plain(text))
-            lengths.append(len(words))
-            for w in words:
-                k = self.written.get(w)
-                if k is None:
-                    norm = plain_word(w)
-                    k = self.known.get(norm)
+        fresh, index, lengths, of = [], [], [], []
+        for place, text in enumerate(texts):
+            for sentence in sentences(text):
+                words = TOKEN.findall(sentence)
+                if not words:
+                    continue
+                lengths.append(len(words))
+                of.append(place)
+                for w in words:
+                    k = self.written.get(w)
                     if k is None:
-                        k = self.known[norm] = len(self.known)
-                        fresh.append(norm)
-                    self.written[w] = k
-                index.append(k)
+                        norm = plain_word(w)
+                        k = self.known.get(norm)
+                        if k is None:
+                            k = self.known[norm] = len(self.known)
+                            fresh.append(norm)
+                        self.written[w] = k
+                    index.append(k)
         if fresh:
             self._learn(fresh)
         out = np.zeros((len(texts), len(CATEGORIES)), dtype=np.float64)
         if not index:
             return out
-        at = np.array(index, dtype=np.int64)
-        n = np.array(lengths, dtype=np.int64)
-        row = np.repeat(np.arange(len(texts)), n)
-        begin = (np.cumsum(n) - n)[row]
-        stop = begin + n[row]
+        at, n = np.array(index, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        starts = np.cumsum(n) - n
+        begin = np.repeat(starts, n)
+        stop = begin + np.repeat(n, n)
         pairs = np.zeros((len(at), len(CLASSES)), dtype=np.float64)  # of each word with the one after it
-        if len(at) > 1:
-            pairs[:-1] = self.logits[pair_bucket(self.hashes[at[:-1]], self.hashes[at[1:]])]
-        total = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(self.sums[at], axis=0, dtype=np.float64)])
-        paired = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(pairs, axis=0)])
+        pairs[:-1] = self.logits[pair_bucket(self.hashes[at[:-1]], self.hashes[at[1:]])]
+        zero = np.zeros((1, len(CLASSES)))
+        total = np.concatenate([zero, np.cumsum(self.sums[at], axis=0, dtype=np.float64)])
+        paired = np.concatenate([zero, np.cumsum(pairs, axis=0)])
         counted = np.concatenate([[0.0], np.cumsum(self.sizes[at], dtype=np.float64)])
-        here, spans, chances = np.arange(len(at)), [], []
+        here = np.arange(len(at))
         for window in WINDOWS:
-            # windows start at every word, or end with the text
+            # windows start at every word, or end with the sentence
             left = np.maximum(np.minimum(here, stop - window), begin)
             right = np.minimum(left + window, stop)
             sums = total[right] - total[left] + paired[np.maximum(right - 1, left)] - paired[left]
             logits = sums / np.maximum(counted[right] - counted[left] + right - left - 1, 1)[:, None] + self.logits[-1]
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p = p[:, 1:] / p.sum(axis=1, keepdims=True)
-            p[p < p.max(axis=1, keepdims=True)] = 0  # a window speaks for its likeliest category only
-            spans.append((left, right))
-            chances.append(p)
-        # the worst window of a text decides for all windows that overlap it; other categories need words of their own
-        full = n > 0
-        starts = (np.cumsum(n) - n)[full]
-        tops = np.stack([p.max(axis=1) for p in chances], axis=1)
-        worst = np.maximum.reduceat(tops.max(axis=1), starts)
-        of = np.cumsum(full)[row] - 1
-        k, size = np.nonzero(tops == worst[of][:, None])
-        chosen = np.full((len(starts), 3), -1, dtype=np.int64)
-        for w in range(len(WINDOWS)):
-            pick = k[size == w]
-            chosen[of[pick]] = np.stack([spans[w][0][pick], spans[w][1][pick], chances[w][pick].argmax(axis=1)], axis=1)
-        for p, (left, right) in zip(chances, spans):
-            lo, hi, category = chosen[of].T
-            apart = (left >= hi) | (right <= lo)
-            p *= apart[:, None] | (np.arange(len(CATEGORIES)) == category[:, None])
-            out[full] = np.maximum(out[full], np.maximum.reduceat(p, starts, axis=0))
+            np.maximum.at(out, of, np.maximum.reduceat(p[:, 1:] / p.sum(axis=1, keepdims=True), starts, axis=0))
         return out
 
 
@@ -316,21 +335,37 @@ def _scoring(name: str):
     return run
 
 
-def fit(examples: DataFrame, text: str, label: str, order: str, corpus: DataFrame, ident: str, corpus_text: str) -> np.ndarray:
-    """A model of at most ``TRAIN_ROWS`` labelled rows and ``UNLABELLED_ROWS`` texts of the corpus, those with the smallest hash of their id.
+def common_phrases(corpus: DataFrame, text: str) -> list[str]:
+    """Phrases that at least ``COMMON`` of all texts hold, counted over all of them; figures count as 0.
+
+    A text of w words holds at most w / STRIDE + 1 phrases a sentence, so there are at most (mean words / STRIDE + mean
+    sentences) / COMMON common ones, whatever the number of texts.
+    """
+    held = corpus.filter(F.col(text).isNotNull()).select(F.regexp_replace(F.lower(text), r"\p{Nd}+", "0").alias("t"))
+    n = held.count()
+    parts = held.select(F.monotonically_increasing_id().alias("k"), F.explode(F.split("t", r"[.!?…]+(?=\s|$)|\n+")).alias("s"))
+    words = parts.select("k", F.filter(F.split("s", r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w")).filter(F.size("w") > 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - PHRASE, F.lit(0)), F.lit(STRIDE))
+    phrases = words.select("k", F.explode(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, PHRASE)))).alias("p"))
+    common = phrases.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, COMMON * n))
+    return sorted(r[0] for r in common.select("p").collect())
+
+
+def fit(examples: DataFrame, text: str, label: str, order: str, corpus: DataFrame, corpus_text: str, harmless: DataFrame | None = None) -> np.ndarray:
+    """A model of at most ``TRAIN_ROWS`` labelled rows, ``HARMLESS_ROWS`` harmless texts and the phrases common in the whole corpus.
 
-    Rows without text or with another label are left out.
+    ``harmless`` has texts as its only column. Rows without text or with another label are left out.
     """
     usable = examples.filter(F.col(label).isin(list(CLASSES)) & F.col(text).isNotNull()).orderBy(order).select(text, label).limit(TRAIN_ROWS)
-    some = hashed_sample(corpus.filter(F.col(corpus_text).isNotNull()).select(ident, corpus_text), ident, UNLABELLED_ROWS).select(corpus_text)
-    return train([(r[0], r[1]) for r in usable.collect()], sorted({r[0] for r in some.collect()}))
+    clean = [] if harmless is None else sorted(r[0] for r in harmless.filter(F.col(harmless.columns[0]).isNotNull()).orderBy(harmless.columns[0]).limit(HARMLESS_ROWS).collect())
+    return train([(r[0], r[1]) for r in usable.collect()], clean, common_phrases(corpus, corpus_text))
 
 
 def abuse_scores(df: DataFrame, ident: str, text: str, logits: np.ndarray) -> DataFrame:
     """``ident`` and a probability per category for every row.
 
     A text's words, their character n-grams and pairs of words are looked up in the trained table and averaged over
-    windows; the worst window counts. Null and empty texts score 0; null ids stay null; repeated rows give repeated
+    windows within sentences; for each category the worst window counts, so several may apply. Null and empty texts score 0; null ids stay null; repeated rows give repeated
     rows; an empty table gives no rows; other columns are ignored, whatever their names. Texts are read whole.
     """
     name = ship_bytes(df.sparkSession, logits.astype(np.float32).tobytes(), ".logits")
@@ -342,7 +377,8 @@ def abuse_scores(df: DataFrame, ident: str, text: str, logits: np.ndarray) -> Da
 
 def _comment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "comments").filter(F.col("comment_id").isNotNull())
-    logits = fit(load(spark, sf_dir, "abuse_labels"), "text", "label", "example_id", rows, "comment_id", "text")
+    clean = load(spark, sf_dir, "language_samples").select("text")
+    logits = fit(load(spark, sf_dir, "abuse_labels"), "text", "label", "example_id", rows, "text", clean)
     keyed = rows.select(F.struct("comment_id", "video_id").alias("key"), "text")
     scores = abuse_scores(keyed, "key", "text", logits)
     return scores.select("key.comment_id", "key.video_id", *(F.round(c, 4).alias(c) for c in CATEGORIES))

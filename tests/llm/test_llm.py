@@ -182,12 +182,13 @@ def test_near_copies_of_awkward_texts(spark, rows):
 @pytest.fixture(scope="module")
 def abuse_model(spark, small):
     rows = [(r["text"], r["label"]) for r in load(spark, small, "abuse_labels").orderBy("example_id").collect()]
-    free = [r["text"] for r in load(spark, small, "comments").filter("text is not null").collect()]
-    return rows, free, abuse.train([r for k, r in enumerate(rows) if k % 5], free)
+    clean = [r["text"] for r in load(spark, small, "language_samples").orderBy("sample_id").collect()]
+    phrases = abuse.common_phrases(load(spark, small, "comments"), "text")
+    return rows, abuse.train([r for k, r in enumerate(rows) if k % 5], clean, phrases)
 
 
 def test_abuse_on_held_out_examples(abuse_model):
-    rows, _, model = abuse_model
+    rows, model = abuse_model
     held = [r for k, r in enumerate(rows) if k % 5 == 0]
     scores = abuse.Scorer(model).score([t for t, _ in held])
     guess = np.where(scores.max(axis=1) >= abuse.THRESHOLD, scores.argmax(axis=1) + 1, 0)
@@ -195,15 +196,35 @@ def test_abuse_on_held_out_examples(abuse_model):
     assert (guess == truth).mean() >= 0.8
 
 
+def test_several_categories_of_one_text(abuse_model):
+    rows, model = abuse_model
+    one = {y: next(t for t, label in rows if label == y and "Tavgaris" not in t) for y in ("hateful", "sexual")}
+    alone = abuse.Scorer(model).score([one["hateful"], one["sexual"]])
+    both = abuse.Scorer(model).score([f"{one['hateful']}. {one['sexual']}!"])[0]
+    assert np.allclose(both, alone.max(axis=0))
+
+
+def test_common_phrases_against_brute_force(spark):
+    texts = [f"Thank you all for the {n} kind words. So good" for n in range(40)] + [None, "", "rare words are not common at all"]
+    got = abuse.common_phrases(frame(spark, [(str(k), t) for k, t in enumerate(texts)]), "text")
+    assert got == ["all for the 0", "so good", "thank you all for", "the 0 kind words"]
+    assert abuse.common_phrases(frame(spark, []), "text") == []
+
+
+def test_nothing_to_learn_from():
+    assert abuse.train([], [], []).shape == (abuse.BUCKETS + 1, len(abuse.CLASSES))
+    assert abuse.Scorer(abuse.train([("you fool", "abusive"), ("a fine day", "none")], [], [])).score(["", "you fool"]).shape == (2, 3)
+
+
 def test_disguises():
     assert abuse.tokens("you i d i o t") == ["you", "idiot"] and abuse.tokens("p_a_r_a_s_i_t_e") == ["parasite"]
     assert abuse.tokens("vermmmmmin") == ["vermin"] and abuse.tokens("g31l") == ["geil"] and abuse.tokens("do a b test") == ["do", "a", "b", "test"]
 
 
 def test_abuse_scores_of_awkward_texts(spark, abuse_model):
-    got = abuse.abuse_scores(frame(spark, AWKWARD), "id", "text", abuse_model[2])
+    got = abuse.abuse_scores(frame(spark, AWKWARD), "id", "text", abuse_model[1])
     assert got.count() == len(AWKWARD) and got.filter("id = 'a'").first()["abusive"] == 0.0
-    assert abuse.abuse_scores(frame(spark, []), "id", "text", abuse_model[2]).count() == 0
+    assert abuse.abuse_scores(frame(spark, []), "id", "text", abuse_model[1]).count() == 0
 
 
 # 5 top n

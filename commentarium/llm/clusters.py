@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,22 +13,16 @@ from pyspark.sql import functions as F
 from commentarium.session import written
 from commentarium.tables import distinct_fans, load
 
-#: Neighbours of a record, reverse neighbours that take part in a local join, rounds of descent.
-NEIGHBOURS, REVERSE, DESCENTS = 10, 10, 1
-#: Of its neighbours, a record is linked to so many nearest ones in the graph that is divided.
-LINKS = 6
+#: Neighbours of a record, all of which it is linked to, and reverse neighbours that take part in a local join.
+NEIGHBOURS, REVERSE = 10, 10
+#: Descent ends when a round changes less than this share of all neighbours.
+CHANGED = 0.01
 #: Starting neighbours come from windows of so many records along space-filling curves with so many shifts.
 WINDOW, CURVES = 512, 2
-#: Resolution of the modularity: low, as clusters lie far apart and should be whole.
-RESOLUTION = 0.02
-#: Levels of aggregation and passes over all vertices at each level, at most.
-LEVELS, PASSES = 8, 4
-#: A graph of at most so many edges is finished by one task; larger ones by joins, level by level.
-ONE_TASK_EDGES = 200_000
 #: Edges longer than this many times the median distance to the last neighbour join nothing.
 LONGEST_EDGE = 8.0
-#: A cluster has this share of all records and its records lie about as close as all do; others are stray records.
-SMALLEST_SHARE, LOOSEST = 0.003, 4.5
+#: A cluster's records lie about as close as all do, and are more than one record's neighbours; others are stray records.
+LOOSEST = 4.5
 TYPICAL = 5
 BITS = 14
 
@@ -133,12 +128,12 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def neighbour_graph(points: DataFrame, descents: int = DESCENTS) -> DataFrame:
+def neighbour_graph(points: DataFrame, changed: float = CHANGED) -> DataFrame:
     """``id, nid, d``: approximate nearest neighbours of every record by neighbour descent.
 
     Starting neighbours come from windows along shifted space-filling curves. In each round every record introduces
-    its neighbours and reverse neighbours to each other; pairs nearer than those known take their place. Lists are
-    bounded by the number of neighbours, whatever the data.
+    its neighbours and reverse neighbours to each other; pairs nearer than those known take their place, until a round
+    changes less than ``changed`` of all neighbours. Lists are bounded by the number of neighbours, whatever the data.
     """
     schema = "id string, nid string, d double"
     starts = None
@@ -147,7 +142,7 @@ def neighbour_graph(points: DataFrame, descents: int = DESCENTS) -> DataFrame:
         met = coded.repartitionByRange("code").sortWithinPartitions("code", "id").mapInArrow(_nearest_in_windows, schema)
         starts = met if starts is None else starts.unionByName(met)
     known = written(_best(starts), "knn")
-    for _ in range(descents):
+    while True:
         radius = F.when(F.size("nbrs") < NEIGHBOURS, F.lit(float("inf"))).otherwise(F.element_at("nbrs", -1)["d"])
         places = known.select("id", radius.alias("r")).join(points, "id")
         edges = known.select("id", F.explode("nbrs").alias("n")).select("id", "n.nid", "n.d")
@@ -156,134 +151,137 @@ def neighbour_graph(points: DataFrame, descents: int = DESCENTS) -> DataFrame:
         members = edges.select(F.col("id").alias("p"), F.col("nid").alias("m")).unionByName(back).distinct()
         met = members.join(places.withColumnRenamed("id", "m"), "m").groupBy("p").agg(F.collect_list(F.struct("m", "v", "r")).alias("ms"))
         found = met.select("ms").mapInArrow(_local_join, schema)
-        known = written(_best(edges.unionByName(found.filter("id <> nid"))), "knn")
-    return known.select("id", F.explode("nbrs").alias("n")).select("id", "n.nid", "n.d")
+        before = known.select("id", F.col("nbrs.nid").alias("was"))
+        known = written(_best(edges.unionByName(found.filter("id <> nid"))).join(before, "id", "left"), "knn")
+        rate = known.agg(F.sum(F.size(F.array_except("nbrs.nid", F.coalesce("was", F.array().cast("array<string>"))))) / F.sum(F.size("nbrs"))).first()[0]
+        if rate is None or rate < changed:
+            return known.select("id", F.explode("nbrs").alias("n")).select("id", "n.nid", "n.d")
 
 
-def _moved(edges: DataFrame, nodes: DataFrame, total: float, resolution: float, down: bool) -> DataFrame:
-    """One pass: every vertex joins the neighbouring community that raises modularity most.
+def _merged_once(graph: DataFrame) -> DataFrame:
+    """``id, to, k`` of vertices that join another community, and of that one: its label and its degree.
 
-    Passes allow moves to smaller and to larger labels in turn, so that two vertices never change places.
+    Joining ``a`` and ``b`` raises modularity at every resolution below ``w * 2m / (ka * kb)``. Each vertex looks for
+    the neighbour with the highest such resolution; two that choose each other join if it is above 1, and so do those
+    that chose one of the two. Ties are settled by a hash of the pair, so that some two always choose each other.
+    """
+    pair = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    choice = graph.filter("a <> b AND r > 1").groupBy("a").agg(F.max(F.struct("r", pair.alias("pair"), F.col("b"))).alias("best"), F.first("ka").alias("ka"))
+    choice = choice.select(F.col("a").alias("id"), F.col("best.b").alias("choice"), F.col("ka").alias("k"))
+    other = choice.select(F.col("id").alias("choice"), F.col("choice").alias("back"))
+    looked = choice.join(other, "choice").withColumn("mutual", F.col("id") == F.col("back"))
+    pairs = looked.filter("mutual").select("id", F.least("id", "choice").alias("to"), "k")
+    followers = looked.filter("NOT mutual").join(pairs.select(F.col("id").alias("choice"), "to"), "choice").select("id", "to", "k")
+    members = pairs.unionByName(followers)
+    return members.join(members.groupBy("to").agg(F.sum("k").alias("kt")), "to").select("id", "to", F.col("kt").alias("k"))
+
+
+def _by_resolution(total: float):
+    """The rest of the hierarchy over the communities that modularity leaves at resolution 1, and the cut through it.
+
+    Two communities at a time join, those with the highest resolution at which that still gains. The cut lies in the
+    widest range (on a logarithmic scale) of resolutions over which nothing joins.
     """
-    linked = edges.filter("a <> b").join(nodes.select(F.col("id").alias("b"), F.col("c").alias("to")), "b")
-    weights = linked.groupBy("a", "to").agg(F.sum("w").alias("w"))
-    held = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
-    offered = weights.join(nodes.toDF("a", "k", "own"), "a").join(held.withColumnRenamed("c", "to"), "to")
-    rest = F.col("tot") - F.when(F.col("to") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-    gain = F.col("w") - F.lit(resolution / total) * F.col("k") * rest
-    allowed = (F.col("to") < F.col("own")) if down else (F.col("to") > F.col("own"))
-    stay = F.coalesce(F.max(F.when(F.col("to") == F.col("own"), gain)), F.lit(0.0))
-    best = offered.groupBy("a").agg(
-        stay.alias("stay"), F.max(F.when(allowed, F.struct(gain.alias("gain"), F.col("to").alias("to")))).alias("move")
-    )
-    better = best.filter((F.col("move.gain") > F.col("stay") + 1e-12) & (F.col("move.gain") > 0)).select(F.col("a").alias("id"), F.col("move.to").alias("to"))
-    return nodes.join(better, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c"))
-
-
-def _finished(total: float, resolution: float):
-    """The rest of the work on a small graph: vertices move one by one while modularity grows, then communities become vertices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("w", pa.float64())])).to_pydict()
         links: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(edges["a"], edges["b"], edges["w"]):
-            links.setdefault(a, {})[b] = links.get(a, {}).get(b, 0.0) + w
-        label = {x: x for x in links}
-        while True:
-            degree = {x: sum(n.values()) for x, n in links.items()}
-            own, held = {x: x for x in links}, dict(degree)
-            for _ in range(50):
-                moves = 0
-                for x in sorted(links):
-                    to: dict[str, float] = {}
-                    for y, w in links[x].items():
-                        if y != x:
-                            to[own[y]] = to.get(own[y], 0.0) + w
-                    held[own[x]] -= degree[x]
-                    gain = lambda c: to.get(c, 0.0) - resolution / total * degree[x] * held[c]  # noqa: B023, E731
-                    best = min(sorted(to), key=lambda c: (-gain(c), c), default=own[x])
-                    if best != own[x] and gain(best) > max(gain(own[x]), 0.0) + 1e-12:
-                        own[x] = best
-                        moves += 1
-                    held[own[x]] += degree[x]
-                if not moves:
-                    break
-            smallest: dict[str, str] = {}
-            for x in sorted(own):
-                smallest.setdefault(own[x], x)
-            own = {x: smallest[c] for x, c in own.items()}
-            if all(x == c for x, c in own.items()):
-                break
-            label = {x: own[c] for x, c in label.items()}
-            merged: dict[str, dict[str, float]] = {}
-            for x, n in links.items():
-                row = merged.setdefault(own[x], {})
-                for y, w in n.items():
-                    row[own[y]] = row.get(own[y], 0.0) + w
-            links = merged
-        yield pa.RecordBatch.from_pydict({"id": pa.array(list(label), pa.string()), "c": pa.array(list(label.values()), pa.string())})
+        degree: dict[str, float] = {}
+        for batch in batches:
+            for a, b, w, ka in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                degree[a] = ka
+                own = links.setdefault(a, {})
+                if a != b:
+                    own[b] = w
+        at = {x: 1.0 for x in links}  # when a community came to be; resolutions never rise along the hierarchy
+        heap = [(-w * total / (degree[a] * degree[b]), a, b) for a, n in links.items() for b, w in n.items() if a < b]
+        heapq.heapify(heap)
+        joins: list[tuple[float, str, str]] = []
+        parent: dict[str, str] = {}
+        while heap:
+            r, a, b = heapq.heappop(heap)
+            if a not in links or b not in links or -links[a].get(b, 0.0) * total / (degree[a] * degree[b]) != r:
+                continue
+            at[a] = min(at[a], at[b], -r)
+            joins.append((at[a], a, b))
+            degree[a] += degree.pop(b)
+            for x, w in links.pop(b).items():
+                del links[x][b]
+                if x != a:
+                    links[a][x] = links[x][a] = links[a].get(x, 0.0) + w
+            for x, w in links[a].items():
+                heapq.heappush(heap, (-w * total / (degree[a] * degree[x]), *sorted((a, x))))
+        steps = [1.0, *sorted((r for r, _, _ in joins), reverse=True), 2.0 / total]
+        widest = max(range(len(steps) - 1), key=lambda k: (np.log(steps[k] / steps[k + 1]), k)) if joins else 0
+        for r, a, b in joins:
+            if r >= steps[widest]:
+                parent[b] = a
+
+        def root(x: str) -> str:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        ids = sorted({x for _, a, b in joins for x in (a, b)} | set(links))
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "c": pa.array([root(x) for x in ids], pa.string())})
 
     return run
 
 
-def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
-    """``id, community`` of all vertices of a weighted graph ``a, b, w`` (both directions), by greedy modularity.
+def communities(edges: DataFrame) -> DataFrame:
+    """``id, community`` of all vertices of a weighted graph ``a, b, w`` (both directions), by modularity.
 
-    Vertices move between communities while modularity grows; then communities become vertices and it starts again,
-    until nothing moves. As soon as the graph has so few edges that one task can hold it, that task does the rest.
+    Communities grow by joins of tables, whatever the size of the graph, until at resolution 1 no two neighbours raise
+    modularity by joining. As many as are left then depends on the resolution limit (about the square root of the
+    number of edges, at most), so one task takes them further: it chooses the resolution at which the division is
+    most stable. Every round joins the two neighbours with the highest resolution at least, so the rounds end.
     """
-    graph = written(edges, "edges")
-    total = graph.agg(F.sum("w")).first()[0] or 1.0
+    degree = edges.groupBy("a").agg(F.sum("w").alias("k"))
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    raised = (F.col("w") * F.lit(total) / (F.col("ka") * F.col("kb"))).alias("r")
+    weighed = edges.join(degree.toDF("a", "ka"), "a").join(degree.toDF("b", "kb"), "b")
+    graph = written(weighed.select("a", "b", "w", "ka", "kb", raised), "edges")
     label = None
-    for _ in range(LEVELS):
-        small = graph.count() <= ONE_TASK_EDGES
-        if small:
-            nodes = graph.select("a", "b", "w").coalesce(1).mapInArrow(_finished(total, resolution), "id string, c string")
-        else:
-            nodes = graph.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("id"), "k", F.col("a").alias("c"))
-            before = None
-            for p in range(PASSES):
-                nodes = written(_moved(graph, nodes, total, resolution, p % 2 == 0), "nodes")
-                now = nodes.select("c").distinct().count()
-                if before is not None and now > 0.98 * before:
-                    break
-                before = now
-        step = nodes.select("id", "c")
-        label = step if label is None else label.join(step.toDF("c", "c2"), "c").select("id", F.col("c2").alias("c"))
-        label = written(label, "label")
-        if small or nodes.filter("id <> c").limit(1).count() == 0:
+    while True:
+        joined = written(_merged_once(graph), "joined")
+        if joined.limit(1).count() == 0:
             break
-        joined = graph.join(step.toDF("a", "ca"), "a").join(step.toDF("b", "cb"), "b")
-        graph = written(joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "edges")
-    return label.withColumnRenamed("c", "community")
+        if label is None:
+            label = edges.select(F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+        label = written(label.join(joined.select(F.col("id").alias("c"), "to"), "c", "left").select("id", F.coalesce("to", "c").alias("c")), "label")
+        ends = graph.join(joined.toDF("a", "ta", "na"), "a", "left").join(joined.toDF("b", "tb", "nb"), "b", "left")
+        a, b = F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")
+        sums = ends.groupBy(a, b).agg(F.sum("w").alias("w"), F.max(F.coalesce("na", "ka")).alias("ka"), F.max(F.coalesce("nb", "kb")).alias("kb"))
+        graph = written(sums.select("a", "b", "w", "ka", "kb", raised), "edges")
+    if label is None:
+        label = edges.select(F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+    merged = graph.select("a", "b", "w", "ka").coalesce(1).mapInArrow(_by_resolution(total), "c string, community string")
+    return label.join(merged, "c").select("id", "community")
 
 
 def similarity_clusters(df: DataFrame, ident: str, features: list[str], counts: list[str]) -> DataFrame:
     """``id, leader_id, degree`` of every record that belongs to a cluster; ``degree`` is its weight inside the cluster.
 
     Records are linked to their approximate nearest neighbours, long links left out, and divided by modularity.
-    Communities with few or scattered records are no clusters. ``leader_id`` is the smallest id of the cluster.
+    Communities with no more records than one has neighbours, or with scattered ones, are no clusters. ``leader_id`` is the smallest id of the cluster.
 
     Null ids are left out and repeated ids count once; null features count as 0; equal records lie together. Tables
     with fewer records than a cluster needs, and the empty table, give no rows; other columns are ignored.
     """
     rows = df.filter(F.col(ident).isNotNull()).dropDuplicates([ident])
     points = written(standardised(rows, features, counts, ident), "points")
-    n = points.count()
     knn = neighbour_graph(points)
     reach = written(knn.groupBy("id").agg(F.max("d").alias("r")), "reach")
     usual = reach.agg(F.percentile_approx("r", 0.5, 10_000)).first()[0]
     if usual is None:
         return points.select("id", F.col("id").alias("leader_id"), F.lit(0.0).alias("degree")).limit(0)
-    nearest = F.row_number().over(Window.partitionBy("id").orderBy("d", "nid"))
-    short = knn.withColumn("place", nearest).filter((F.col("place") <= LINKS) & (F.col("d") <= LONGEST_EDGE * usual))
+    short = knn.filter(F.col("d") <= LONGEST_EDGE * usual)
     both = short.select(F.col("id").alias("a"), F.col("nid").alias("b")).unionByName(short.select(F.col("nid").alias("a"), F.col("id").alias("b")))
     graph = written(both.groupBy("a", "b").agg(F.count("*").cast("double").alias("w")), "graph")
     label = written(communities(graph), "communities")
     found = label.join(reach, "id").groupBy("community").agg(
         F.count("*").alias("size"), F.percentile_approx("r", 0.5, 1000).alias("r"), F.min("id").alias("leader_id")
     )
-    dense = found.filter((F.col("size") >= max(3, SMALLEST_SHARE * n)) & (F.col("r") <= LOOSEST * usual)).select("community", "leader_id")
+    dense = found.filter((F.col("size") > NEIGHBOURS) & (F.col("r") <= LOOSEST * usual)).select("community", "leader_id")
     members = label.join(F.broadcast(dense) if dense.count() < 100_000 else dense, "community").select("id", "leader_id")
     a, b = members.toDF("a", "leader_id"), members.toDF("b", "other")
     degree = graph.join(a, "a").join(b, "b").filter("leader_id = other").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from commentarium.llm import abuse, clusters, languages, leaks, lookalikes, near_copies, pii, registry, terms, tokens, topn
-from commentarium.tables import load
+from commentarium.tables import distinct_fans, load
 
 TEXTS = "id string, text string, extra int, term string, key string, v string"
 
@@ -79,16 +79,27 @@ def test_clusters_found(spark):
     assert all(i.split("-")[0] == leader.split("-")[0] for i, leader in got.items()) and len(got) >= 850
 
 
-@pytest.mark.parametrize("most", [0, 200_000])
-def test_communities_by_joins_and_in_one_task(spark, monkeypatch, most):
-    monkeypatch.setattr(clusters, "ONE_TASK_EDGES", most)
-    rng = random.Random(6)
-    pairs = {(f"{g}{i:02d}", f"{g}{j:02d}") for g in "xyz" for i in range(30) for j in rng.sample(range(30), 5) if i != j} | {("x00", "y00")}
+def divided(spark, pairs):
     both = [(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])]
-    got = {r["id"]: r["community"] for r in clusters.communities(spark.createDataFrame(both, "a string, b string, w double").groupBy("a", "b").agg({"w": "sum"}).toDF("a", "b", "w")).collect()}
+    edges = spark.createDataFrame(both, "a string, b string, w double").groupBy("a", "b").agg({"w": "sum"}).toDF("a", "b", "w")
+    return {r["id"]: r["community"] for r in clusters.communities(edges).collect()}
+
+
+def test_communities_that_components_join(spark):
+    rng = random.Random(6)
+    near = {(f"{g}{i:02d}", f"{g}{j:02d}") for g in "xyz" for i in range(30) for j in rng.sample(range(30), 5) if i != j}
+    got = divided(spark, near | {("x00", "y00"), ("x01", "y01"), ("y02", "z02")})  # one connected component
     assert len(set(got.values())) == 3 and all(len({c for i, c in got.items() if i[0] == g}) == 1 for g in "xyz")
 
 
+def test_communities_of_one_and_of_separate_groups(spark):
+    rng = random.Random(7)
+    near = {(f"{g}{i:02d}", f"{g}{j:02d}") for g in "xy" for i in range(40) for j in rng.sample(range(40), 6) if i != j}
+    assert len(set(divided(spark, {p for p in near if p[0][0] == "x"}).values())) == 1
+    assert len(set(divided(spark, near).values())) == 2
+    assert len(set(divided(spark, {("a", "b")}).values())) == 1
+
+
 def test_typical_members(spark):
     rows = spark.createDataFrame([("a", "a", 1.0), ("b", "a", 3.0), ("c", "a", 3.0), ("z", "z", 0.0)], "id string, leader_id string, degree double")
     assert {r["leader_id"]: (r["size"], r["typical"]) for r in clusters.described(rows, 2).collect()} == {"a": (3, ["b", "c"]), "z": (1, ["z"])}
@@ -109,6 +120,20 @@ def test_neighbour_recall(spark):
     assert hits / (len(range(0, len(ids), 10)) * clusters.NEIGHBOURS) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_neighbour_recall_on_fans(spark):
+    rows = distinct_fans(load(spark, "/root/testdata/sf0.01", "fans"))
+    points = clusters.standardised(rows, clusters.FEATURES, clusters.COUNTS, "author_channel_id").cache()
+    ids, v = zip(*[(r["id"], r["v"]) for r in points.collect()])
+    v, hits = np.array(v), 0
+    got = {r["id"]: set(r["n"]) for r in clusters.neighbour_graph(points).groupBy("id").agg({"nid": "collect_set"}).toDF("id", "n").collect()}
+    for k in range(0, len(ids), 100):
+        d = ((v - v[k]) ** 2).sum(axis=1)
+        d[k] = np.inf
+        hits += len(got[ids[k]] & {ids[j] for j in np.argsort(d)[: clusters.NEIGHBOURS]})
+    assert hits / (len(range(0, len(ids), 100)) * clusters.NEIGHBOURS) >= 0.9
+
+
 @pytest.mark.parametrize("rows", [[], [("a", 1.0, 1.0, "")], [("a", None, None, "")] * 3 + [("b", 1.0, None, "")]])
 def test_clusters_of_little(spark, rows):
     assert clusters.similarity_clusters(spark.createDataFrame(rows, "who string, x double, y double, id string"), "who", ["x", "y"], ["x"]).count() == 0

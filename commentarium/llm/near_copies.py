@@ -208,19 +208,30 @@ def _padded(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        (va, la), (vb, lb) = _flat(batch.column(3)), _flat(batch.column(4))
-        begin_a, begin_b = np.cumsum(la) - la, np.cumsum(lb) - lb
-        in_order = np.zeros(len(la))
-        for rows in _blocks(np.maximum(la, lb) + 2 * BAND):
-            xa = np.concatenate([va[x : x + y] for x, y in zip(begin_a[rows], la[rows])])
-            xb = np.concatenate([vb[x : x + y] for x, y in zip(begin_b[rows], lb[rows])])
-            in_order[rows] = aligned_words(_padded(xa, la[rows]), la[rows], _padded(xb, lb[rows]), lb[rows])
-        aligned = pa.array(np.round(in_order / np.maximum(la, lb), 4))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], aligned], names=["a", "b", "share", "aligned"])
+def _verified(min_share: float):
+    """Pairs that share enough words: as many as the alignment finds in order or, where that is too few, in any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (va, la), (vb, lb) = _flat(batch.column(2)), _flat(batch.column(3))
+            begin_a, begin_b = np.cumsum(la) - la, np.cumsum(lb) - lb
+            matched = np.zeros(len(la), dtype=np.int64)
+            for rows in _blocks(np.maximum(la, lb) + 2 * BAND):
+                xa = np.concatenate([va[x : x + y] for x, y in zip(begin_a[rows], la[rows])])
+                xb = np.concatenate([vb[x : x + y] for x, y in zip(begin_b[rows], lb[rows])])
+                matched[rows] = aligned_words(_padded(xa, la[rows]), la[rows], _padded(xb, lb[rows]), lb[rows])
+            aligned = matched / np.maximum(la, lb)
+            enough = np.ceil(min_share * (la + lb) / (1 + min_share) - 1e-9)
+            for k in np.flatnonzero(matched < enough):  # moved sentences or far shifts; labels don't repeat within a text
+                matched[k] = len(np.intersect1d(va[begin_a[k] : begin_a[k] + la[k]], vb[begin_b[k] : begin_b[k] + lb[k]], assume_unique=True))
+            keep = pa.array(matched >= enough)
+            share = pa.array(matched / (la + lb - matched))
+            columns = [batch.column(0), batch.column(1), share, pa.array(np.round(aligned, 4))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["a", "b", "share", "aligned"])
+
+    return run
 
 
 def _rare_prefixes(counts_name: str, min_share: float):
@@ -276,10 +287,10 @@ def classes_of_copies(df: DataFrame, ident: str, text: str, min_words: int) -> t
 def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: int = SKETCHES) -> DataFrame:
     """``a, b, share, aligned`` of all pairs of representatives that share ``min_share`` of their words.
 
-    No alignment can match more words than two texts share in any order, so candidates that share too few are left
-    out before they are aligned: first by their maps (a bit that only one text has is a word that only it has, so
-    this bound loses nothing), then by an exact count. ``aligned`` is the part of the longer text that the banded alignment matches in
-    order; moved sentences lower it, so the share decides.
+    Candidates are first compared by their maps (a bit that only one text has is a word that only it has, so this
+    bound loses nothing), then aligned: a pair whose alignment matches enough words in order is accepted with that
+    share. Only where it doesn't, as sentences were moved, are words counted in any order. ``aligned`` is the part of
+    the longer text that the banded alignment matches.
     """
     counts = frequency_file(texts)
     rows = texts.select("rid", "labels").mapInArrow(_sketching(counts, sketches), "key long, rid string")
@@ -297,17 +308,31 @@ def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: in
     likely = met_maps.filter(most / (F.col("na") + F.col("nb") - most) >= min_share - 1e-12).select("a", "b")
     lists = texts.select("rid", "labels")
     first = likely.join(lists.toDF("a", "la"), "a")
-    shared = F.size(F.array_intersect("la", "lb"))
-    both = first.join(lists.toDF("b", "lb"), "b").withColumn("share", shared / (F.size("la") + F.size("lb") - shared))
-    good = both.filter(F.col("share") >= min_share - 1e-12).select("a", "b", "share", "la", "lb")
-    return good.mapInArrow(_aligned, "a string, b string, share double, aligned double")
+    both = first.join(lists.toDF("b", "lb"), "b").select("a", "b", "la", "lb")
+    return both.mapInArrow(_verified(min_share), "a string, b string, share double, aligned double")
+
+
+def near_copy_classes(df: DataFrame, ident: str, text: str, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """``id, class_id, links`` of every text of ``min_words`` words: its class and how many other texts are near copies.
+
+    A class is the texts with the same words; ``class_id`` is its smallest id. Copies are never paired with each
+    other: links are counted from the sizes of classes. Null ids and null, empty or short texts have no row.
+    """
+    texts, members = classes_of_copies(df, ident, text, min_words)
+    members = written(members, "members")
+    sizes = written(members.groupBy("rid").agg(F.count("*").alias("size")), "sizes")
+    links = written(similar_classes(texts, min_share).select("a", "b"), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.toDF("b", "size"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("size").alias("near"))
+    linked = sizes.join(near, "rid", "left").select("rid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return members.join(linked, "rid").select("id", F.col("rid").alias("class_id"), "links")
 
 
 def near_copies(df: DataFrame, ident: str, text: str, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """``a < b``: all pairs of ids whose texts have ``min_words`` words each and share ``min_share`` of them.
 
     Order MinHash: each sketch keeps the smallest occurrence-labelled words of a text in text order; texts with an
-    equal sketch are candidates, verified by the words they share and by banded alignment. Texts with the same words are one class, compared once. Texts in buckets that are too
+    equal sketch are candidates, verified by banded alignment and, where parts were moved, by the words they share. Texts with the same words are one class, compared once. Texts in buckets that are too
     large are compared by their rare words instead, which misses none.
 
     Null ids and null, empty or short texts have no pairs. Repeated ids count once per different text. No id pairs
@@ -331,16 +356,28 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(rows, "comment_id", "cleaned_text").toDF("comment_a", "comment_b")
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each comment of 30 words with its class of same words and the number of other comments nearly the same."""
+    rows = load(spark, sf_dir, "comments").select("comment_id", "cleaned_text")
+    return near_copy_classes(rows, "comment_id", "cleaned_text").toDF("comment_id", "class_id", "links")
 
-SQL = {
-    "p3_found": """
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+
+_WORDS = """
         WITH t AS (SELECT comment_id, any_value(cleaned_text) AS text FROM comments WHERE comment_id IS NOT NULL AND cleaned_text IS NOT NULL GROUP BY comment_id),
         w AS (SELECT comment_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
         n AS (SELECT comment_id, len(w) AS n, w FROM w WHERE len(w) >= 30),
         c AS (SELECT comment_id, n, word, count(*) AS c FROM (SELECT comment_id, n, unnest(w) AS word FROM n) GROUP BY ALL),
         s AS (SELECT a.comment_id AS comment_a, b.comment_id AS comment_b, any_value(a.n + b.n) AS n, sum(least(a.c, b.c)) AS s
-              FROM c a JOIN c b ON a.word = b.word AND a.comment_id < b.comment_id GROUP BY ALL)
-        SELECT comment_a, comment_b FROM s WHERE s >= 0.7 * (n - s)
+              FROM c a JOIN c b ON a.word = b.word AND a.comment_id < b.comment_id GROUP BY ALL),
+        p AS (SELECT comment_a, comment_b FROM s WHERE s >= 0.7 * (n - s))
+"""
+SQL = {
+    "p3_found": f"{_WORDS} SELECT comment_a, comment_b FROM p",
+    "p3_groups": f"""{_WORDS},
+        k AS (SELECT comment_id, min(comment_id) OVER (PARTITION BY list_sort(w)) AS class_id FROM n),
+        l AS (SELECT id, count(*) AS links FROM (SELECT comment_a AS id FROM p UNION ALL SELECT comment_b FROM p) GROUP BY id)
+        SELECT comment_id, class_id, coalesce(links, 0)::BIGINT AS links FROM k LEFT JOIN l ON l.id = comment_id
     """,
 }

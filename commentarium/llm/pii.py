@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import os
+import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +21,8 @@ from commentarium.session import ship_bytes, written
 from commentarium.tables import load
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Key of the surrogates; without it they can't be traced back. Set your own.
-KEY = os.environ.get("SURROGATE_KEY", "change-me")
+#: Variable that holds the key of the surrogates; who knows the key can tell which value a surrogate stands for.
+KEY_VARIABLE = "SURROGATE_KEY"
 #: A family name that is also an ordinary word must follow so many different given names.
 DISTINCT_GIVENS, DISTINCT_FAMILIES = 2, 2
 
@@ -63,7 +65,10 @@ GERMAN_NUMBER = regex.compile(r"^(.* \d{1,4}) [a-zA-Z]$")
 FORWARD = regex.compile(rf"(?<![\p{{L}}\p{{N}}@#_.+\-])(?P<given>{_CAP})(?: \p{{Lu}}\.)? (?P<family>{_CAP})(?![\p{{L}}\p{{N}}@])")
 BACKWARD = regex.compile(rf"(?<![\p{{L}}\p{{N}}@#_.+\-])(?P<family>{_CAP}), (?P<given>{_CAP})(?: \p{{Lu}}\.)?(?![\p{{L}}\p{{N}}@])")
 LED = regex.compile(rf"(?:{_CAP}|\p{{Lu}}\.) $")
-PERHAPS = regex.compile(r"\d|@|\bat\b|\bAT\b")
+#: Quick looks that tell whether the slower patterns can match.
+MAY_BE_EMAIL = re.compile(r"@|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:AT|at)\s[\w\-]+\s(?:DOT|dot)\s")
+MAY_BE_NUMBER = re.compile(r"\d")
+MAY_BE_ADDRESS = re.compile("(?i)" + "|".join((STREETS_EN, STREETS_DE, STREETS_FR, STREETS_ES, STREETS_RU)))
 
 
 @lru_cache(maxsize=2)
@@ -79,14 +84,18 @@ def patterned(text: str) -> Iterator[tuple[str, int, int, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if MAY_BE_EMAIL.search(text) else ():
         user, host = m["user"], DOT.sub(".", m["host"])
         if user.lower().startswith("mailto:"):
             user = user[7:]
         if regex.fullmatch(r"[\w\-]+(?:\.[\w\-]+)*\.\p{L}{2,}", host):
             taken.append(m.span())
             yield "email", m.start("user"), m.end(), f"{user}@{host}".lower()
+    if not MAY_BE_NUMBER.search(text):
+        return
     for kind, pattern in (("id_number", ID_NUMBER), ("phone", PHONE), ("address", ADDRESS)):
+        if kind == "address" and not MAY_BE_ADDRESS.search(text):
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
             value = m.group()
@@ -110,8 +119,7 @@ def _extracting(ordinary_name: str):
         for batch in batches:
             rows: list[tuple] = []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                if PERHAPS.search(text):
-                    rows += [(k, kind, a, b, value, None, None, False, False) for kind, a, b, value in patterned(text)]
+                rows += [(k, kind, a, b, value, None, None, False, False) for kind, a, b, value in patterned(text)]
                 for m in FORWARD.finditer(text, overlapped=True):
                     given, family = m["given"].lower(), m["family"].lower()
                     rows.append((k, "name", *m.span(), f"{given} {family}", given, family, given in ordinary, family in ordinary))
@@ -138,7 +146,7 @@ def _common_words(piece_path: str) -> str:
 
 
 def known_names(pairs: DataFrame, given_names: DataFrame, given: str) -> tuple[DataFrame, DataFrame]:
-    """(given names, family names) that the corpus shows: words after known given names, then words before those, and once more.
+    """(given names, family names) that the corpus shows: words after known given names, then words before those, until no given name is new.
 
     An ordinary word is a family name only after ``DISTINCT_GIVENS`` different given names, so that what one given
     name often precedes ("Grace Period") isn't one. A new given name precedes ``DISTINCT_FAMILIES`` family names.
@@ -150,14 +158,17 @@ def known_names(pairs: DataFrame, given_names: DataFrame, given: str) -> tuple[D
         named = met.filter(~F.col("plain") | (F.col("n") >= DISTINCT_GIVENS)).select("family")
         return named.join(seeds.withColumnRenamed("given", "family"), "family", "left_anti")
 
-    met = pairs.join(families(seeds), "family", "left_semi").filter(~F.col("given").isin(TITLES))
-    learned = met.filter(~F.col("plain_given")).groupBy("given").agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= DISTINCT_FAMILIES)
-    givens = seeds.union(learned.select("given")).distinct()
+    givens, known = seeds, -1
+    while (n := givens.count()) > known:
+        known = n
+        met = pairs.join(families(givens), "family", "left_semi").filter(~F.col("given").isin(TITLES))
+        learned = met.filter(~F.col("plain_given")).groupBy("given").agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= DISTINCT_FAMILIES)
+        givens = written(seeds.union(givens).union(learned.select("given")).distinct(), "givens")
     return givens, families(givens)
 
 
 def find_pii(df: DataFrame, ident: str, text: str, given_names: DataFrame, given: str, piece_file: str | None = None) -> DataFrame:
-    """``ident, pii_kind, pii_value, first, last, written`` of every finding: kind, normal form, place in the text, names' parts.
+    """``ident, pii_kind, pii_value, first, last, given, family`` of every finding: kind, normal form, place in the text, a name's parts.
 
     Patterns find mails (also spelled with "at" and "dot"), phones, identity numbers and street addresses. Names are
     pairs of capitalised words, in either order, of which the corpus shows that one is a given and the other a family
@@ -172,52 +183,77 @@ def find_pii(df: DataFrame, ident: str, text: str, given_names: DataFrame, given
     schema = f"id {kind}, kind string, first int, last int, value string, given string, family string, plain_given boolean, plain_family boolean"
     found = written(rows.mapInArrow(_extracting(common), schema), "pii")
     people = found.filter("kind = 'name'")
-    pairs = people.select("given", "family", "plain_given", "plain_family").distinct()
+    pairs = written(people.select("given", "family", "plain_given", "plain_family").distinct(), "pairs")
     givens, families = known_names(pairs, given_names, given)
     names = people.join(givens, "given", "left_semi").join(families, "family", "left_semi")
-    columns = [F.col("id").alias(ident), F.col("kind").alias("pii_kind"), F.col("value").alias("pii_value"), "first", "last"]
+    columns = [F.col("id").alias(ident), F.col("kind").alias("pii_kind"), F.col("value").alias("pii_value"), "first", "last", "given", "family"]
     return found.filter("kind <> 'name'").select(*columns).unionByName(names.select(*columns))
 
 
-# Syllables of surrogate family names and street names, and words of their kind.
+# Syllables of surrogate family names and street names, in Latin and in Cyrillic letters.
 SYLLABLES = "bar den fal gor hen kel lom mar nes pol rin sal tem vor wes zan".split()
+SYLLABLES_RU = "бар ден фал гор хен кел лом мар нес пол рин сал тем вор вес зан".split()
+CYRILLIC = regex.compile(r"\p{Cyrillic}")
+#: From this draw on, a value's form is widened by a digit, a syllable or a second given name, as the form may be exhausted.
+WIDENED_FROM = 3
+#: Kinds of values that surrogates are drawn for; a name is made of its parts, so that they stay the same in other names.
+DRAWN = ("email", "phone", "id_number", "address", "given", "family")
 
 
 def _digest(key: str, kind: str, value: str, salt: int) -> bytes:
     return hmac.new(key.encode(), f"{kind}\x00{value}\x00{salt}".encode(), hashlib.sha256).digest()
 
 
-def _made_word(digest: bytes, parts: int) -> str:
-    return "".join(SYLLABLES[b % len(SYLLABLES)] for b in digest[:parts])
+def _made_word(digest: bytes, parts: int, like: str) -> str:
+    """A word of syllables, in the script of ``like``."""
+    syllables = SYLLABLES_RU if CYRILLIC.search(like) else SYLLABLES
+    return "".join(syllables[b % len(syllables)] for b in digest[:parts])
+
+
+def _feminine(given: str) -> bool:
+    """By the ending, as no table tells the gender."""
+    return given[-1:] in "aeéая"
 
 
 def surrogate(key: str, kind: str, value: str, salt: int, givens: list[str]) -> str:
-    """Another value of the same kind and form, decided by the key alone: equal values get equal surrogates."""
-    d = _digest(key, kind, value, salt)
+    """Another value of the same kind, form and script, decided by the key alone; ``salt`` numbers the draws.
+
+    Widened draws (see ``WIDENED_FROM``) are longer, so that no form runs out of values.
+    """
+    d, wider = _digest(key, kind, value, salt), max(0, salt - WIDENED_FROM + 1)
     if kind == "email":
-        return f"{_made_word(d, 3)}.{d[3:8].hex()}@mail.example"
+        return f"{_made_word(d, 3, 'a')}.{d[3 : 8 + min(wider, 20)].hex()}@mail.example"
     if kind in ("phone", "id_number"):
-        stream, out = iter(d + _digest(key, kind, value, salt + 1_000_000)), []
-        for k, c in enumerate(value):
-            x = next(stream)
+        out = []
+        for k, c in enumerate(value + "0" * wider):
+            x = d[k % len(d)] if k < len(d) else _digest(key, kind, value, salt + 1_000_000 * (k // len(d)))[k % len(d)]
             keep = kind == "phone" and k < 2
             out.append(c if keep else str(x % 10) if c.isdigit() else chr(97 + x % 26))
         return "".join(out)
     if kind == "address":
-        name = _made_word(d[4:], 4 + (salt > 0))
         words = regex.findall(r"\p{L}{4,}", value)
         longest = max(words[1:] or words or ["street"], key=len)
+        name = _made_word(d[4:], 4 + wider, longest)
         made = regex.sub(r"\d+", lambda m: str(1 + int.from_bytes(d[:2], "big") % 10 ** max(2, len(m.group()))), value)
         return made.replace(longest, name + next((s for s in STREETS_DE.split("|") if longest.endswith(s)), ""), 1)
-    given = value.split(" ")[0]
-    alike = [g for g in givens if (g[-1:] in "aeé") == (given[-1:] in "aeé")] or givens or ["alex"]
-    return f"{alike[int.from_bytes(d[:4], 'big') % len(alike)]} {_made_word(d[4:], 4 + (salt > 0) + (salt > 1))}"
+    if kind == "family":
+        return _made_word(d[4:], 4 + wider, value)
+    russian = bool(CYRILLIC.search(value))
+    alike = [g for g in givens if bool(CYRILLIC.search(g)) == russian and g.isalpha()]
+    alike = [g for g in alike if _feminine(g) == _feminine(value)] or alike
+    if not alike:
+        return _made_word(d[4:], 2 + wider, value) + (("а" if russian else "a") if _feminine(value) else "")
+    drawn = [alike[int.from_bytes(d[4 * k : 4 * k + 4], "big") % len(alike)] for k in range(min(2, 1 + salt))]
+    return "-".join([*drawn, _made_word(d[8:], 1 + wider, value)] if wider else drawn)
 
 
 def assign_surrogates(findings: DataFrame, key: str, given_names: list[str]) -> DataFrame:
     """``pii_kind, pii_value, surrogate``: one surrogate per distinct value over the whole corpus, no two alike.
 
-    Equal surrogates of different values are looked for and all but one of them drawn again, twice over.
+    Names are split: given and family names have a surrogate each, so persons of one family keep a common name, and a
+    mail address whose user part is made of known names gets theirs. Of equal surrogates all but one are drawn again,
+    as is every mail, number, address and family name that really occurs; this goes on until none is left, with wider
+    forms from the third draw on.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,18 +263,42 @@ def assign_surrogates(findings: DataFrame, key: str, given_names: list[str]) ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "surrogate"])
 
     schema = "pii_kind string, pii_value string, salt int, surrogate string"
-    drawn = findings.select("pii_kind", "pii_value").distinct().withColumn("salt", F.lit(0)).mapInArrow(draw, schema)
-    for _ in range(2):
-        again = F.row_number().over(Window.partitionBy("pii_kind", "surrogate").orderBy("salt", "pii_value")) - 1
-        drawn = drawn.withColumn("again", again).select("pii_kind", "pii_value", (F.col("salt") + F.col("again")).cast("int").alias("salt")).mapInArrow(draw, schema)
-    return drawn.drop("salt")
+    values = findings.select("pii_kind", "pii_value", "given", "family").distinct()
+    people = values.filter("pii_kind = 'name'")
+    parts = people.select(F.lit("given").alias("pii_kind"), F.col("given").alias("pii_value")).union(people.select(F.lit("family"), "family"))
+    real = written(values.filter("pii_kind <> 'name'").select("pii_kind", "pii_value").union(parts).distinct(), "values")
+    drawn = written(real.withColumn("salt", F.lit(0)).mapInArrow(draw, schema), "drawn")
+    occurs = real.filter("pii_kind <> 'given'").select("pii_kind", F.col("pii_value").alias("surrogate"), F.lit(True).alias("occurs"))
+    place = F.row_number().over(Window.partitionBy("pii_kind", "surrogate").orderBy("salt", "pii_value"))
+    while True:
+        judged = written(drawn.withColumn("place", place).join(occurs, ["pii_kind", "surrogate"], "left"), "judged")
+        again = judged.filter("place > 1 OR occurs")
+        if again.limit(1).count() == 0:
+            break
+        redrawn = again.select("pii_kind", "pii_value", (F.col("salt") + 1).alias("salt")).mapInArrow(draw, schema)
+        drawn = written(judged.filter("place = 1 AND occurs IS NULL").select(*drawn.columns).union(redrawn), "drawn")
+    single = drawn.drop("salt")
+    given, family = (single.filter(F.col("pii_kind") == k).select(F.col("pii_value").alias(k), F.col("surrogate").alias(f"s_{k}")) for k in ("given", "family"))
+    named = people.join(given, "given").join(family, "family").withColumn("surrogate", F.concat_ws(" ", "s_given", "s_family"))
+    users = F.split(F.substring_index("pii_value", "@", 1), "[._-]")
+    mails = single.filter("pii_kind = 'email'").select("pii_value", F.col("surrogate").alias("own"), users[0].alias("u0"), users[1].alias("u1"), F.size(users).alias("n"))
+    orders = people.select(F.col("given").alias("u0"), F.col("family").alias("u1")).union(people.select("family", "given")).distinct()
+    made = mails.filter("n = 2").join(orders, ["u0", "u1"], "left_semi")
+    either = given.toDF("u", "s").withColumn("first", F.lit(0)).union(family.toDF("u", "s").withColumn("first", F.lit(1)))
+    either = either.groupBy("u").agg(F.min(F.struct("first", "s"))["s"].alias("s"))
+    personal = made.join(either.toDF("u0", "s0"), "u0").join(either.toDF("u1", "s1"), "u1")
+    personal = personal.select("pii_value", F.concat(F.col("s0"), F.lit("."), F.col("s1"), F.lit("@"), F.regexp_extract("own", "([a-z]+[.][0-9a-f]+)@", 1), F.lit(".example")).alias("better"))
+    plain = single.filter("pii_kind NOT IN ('given', 'family')").join(personal, "pii_value", "left")
+    plain = plain.select("pii_kind", "pii_value", F.when(F.col("pii_kind") == "email", F.coalesce("better", "surrogate")).otherwise(F.col("surrogate")).alias("surrogate"))
+    return plain.union(named.select("pii_kind", "pii_value", "surrogate").dropDuplicates(["pii_value"]))
 
 
 def written_like(value: str, made: str, kind: str) -> str:
     """A surrogate in the form in which the value stands in the text: case, order of names, signs between digits."""
     if kind in ("phone", "id_number"):
         letters = iter(made)
-        return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(letters, "0")) else c for c in value)
+        shown = "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(letters, "0")) else c for c in value)
+        return shown + "".join(letters)
     if kind == "name":
         given, _, family = made.partition(" ")
         made = f"{family}, {given}" if "," in value else made
@@ -249,50 +309,65 @@ def written_like(value: str, made: str, kind: str) -> str:
 
 
 def _replacing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with placeholders and with surrogates, and the values that don't stand in them any more."""
     for batch in batches:
         texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        marked, disguised = [], []
+        marked, disguised, gone = [], [], []
         for text, found in zip(texts, spans):
-            if text is None or not found:
-                marked.append(text)
-                disguised.append(text)
-                continue
-            a, b, at = [], [], 0
-            for s in sorted(found, key=lambda s: (s["first"], -s["last"])):
-                if s["first"] < at:
+            a, b, at, values = [], [], 0, set()
+            for s in sorted(found or (), key=lambda s: (s["first"], -s["last"])):
+                values.add((s["pii_kind"], s["pii_value"]))
+                if s["first"] < at:  # begins inside a longer finding; what stands out of it is taken along
+                    at = max(at, s["last"])
                     continue
                 here = text[s["first"] : s["last"]]
                 a += (text[at : s["first"]], f"[{s['pii_kind'].upper()}]")
                 b += (text[at : s["first"]], written_like(here, s["surrogate"], s["pii_kind"]))
                 at = s["last"]
-            marked.append("".join((*a, text[at:])))
-            disguised.append("".join((*b, text[at:])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marked, pa.string()), pa.array(disguised, pa.string())], names=["id", "placeholders", "surrogates"])
+            marked.append(text if text is None else "".join((*a, text[at:])))
+            disguised.append(text if text is None else "".join((*b, text[at:])))
+            gone.append([{"pii_kind": k, "pii_value": v} for k, v in sorted(values)])
+        kinds = pa.list_(pa.struct([("pii_kind", pa.string()), ("pii_value", pa.string())]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(marked, pa.string()), pa.array(disguised, pa.string()), pa.array(gone, kinds)], names=["id", "placeholders", "surrogates", "replaced"]
+        )
 
 
-def replace_pii(df: DataFrame, ident: str, text: str, given_names: DataFrame, given: str, key: str = KEY) -> DataFrame:
-    """``ident, placeholders, surrogates``: every row's text with typed placeholders, and with keyed surrogates.
+def replace_pii(df: DataFrame, ident: str, text: str, given_names: DataFrame, given: str, key: str) -> DataFrame:
+    """``ident, placeholders, surrogates, replaced``: texts with typed placeholders, with keyed surrogates, and the values replaced.
 
     The rest of the text stays as it is. Rows without findings, null and empty texts come out unchanged. ``ident``
     must be unique, as findings are brought back to their text by it; the findings of one text are gathered, no more.
+    Without a key there are no surrogates: an empty one is refused. Given names are drawn from all of ``given_names``,
+    a list of names, so of a bounded size.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     findings = written(find_pii(df, ident, text, given_names, given), "findings")
-    givens = sorted(r[0] for r in given_names.select(F.lower(F.trim(given))).filter(F.col(given).isNotNull()).distinct().limit(10_000).collect())
+    givens = sorted(r[0] for r in given_names.select(F.lower(F.trim(given))).filter(F.col(given).isNotNull()).distinct().collect())
     made = assign_surrogates(findings, key, givens)
-    spans = findings.join(made, ["pii_kind", "pii_value"]).groupBy(ident).agg(F.collect_list(F.struct("first", "last", "pii_kind", "surrogate")).alias("spans"))
+    spans = findings.join(made, ["pii_kind", "pii_value"]).groupBy(ident).agg(F.collect_list(F.struct("first", "last", "pii_kind", "pii_value", "surrogate")).alias("spans"))
     rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).join(spans.withColumnRenamed(ident, "id"), "id", "left")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_replacing, f"id {kind}, placeholders string, surrogates string").withColumnRenamed("id", ident)
+    schema = f"id {kind}, placeholders string, surrogates string, replaced array<struct<pii_kind: string, pii_value: string>>"
+    return rows.mapInArrow(_replacing, schema).withColumnRenamed("id", ident)
+
+
+def _replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses the key in ``KEY_VARIABLE`` or, where it isn't set, one made for this run and then forgotten."""
+    key = os.environ.get(KEY_VARIABLE) or secrets.token_hex(32)
+    return replace_pii(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "given_names"), "given_name", key)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "given_names"), "given_name")
-    return found.select("doc_id", "pii_kind", "pii_value").distinct()
+    """The values that were replaced in each document."""
+    gone = _replaced_documents(spark, sf_dir).select("doc_id", F.explode("replaced").alias("r"))
+    return gone.select("doc_id", "r.pii_kind", "r.pii_value").distinct()
 
 
 def p10_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with placeholders and with surrogates."""
-    return replace_pii(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "given_names"), "given_name")
+    return _replaced_documents(spark, sf_dir).drop("replaced")
 
 
 QUERIES = {"p10_found": p10_found, "p10_replaced": p10_replaced}

@@ -201,6 +201,23 @@ def test_near_copies_of_awkward_texts(spark, rows):
     assert near_copies.near_copies(frame(spark, rows), "id", "text").count() == 0
 
 
+def test_alignment_decides_and_counting_helps_moved_parts(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [("a", " ".join(words)), ("b", " ".join([*words[:20], "new", *words[20:]])), ("c", " ".join([*words[20:], "other", *words[:20]])), ("d", " ".join(words[:20] * 2))]
+    texts, _ = near_copies.classes_of_copies(frame(spark, rows), "id", "text", 30)
+    got = {(r["a"], r["b"]): (round(r["share"], 3), r["aligned"]) for r in near_copies.similar_classes(texts).collect()}
+    assert got[("a", "b")] == (round(40 / 41, 3), round(40 / 41, 4)) and ("a", "d") not in got
+    assert got[("b", "c")][0] == round(40 / 42, 3) and got[("b", "c")][1] < 0.6
+
+
+def test_classes_count_links_without_pairing_copies(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(f"a{k:03d}", " ".join(words)) for k in range(300)] + [("b", " ".join(words[:-1])), ("z", "w " * 35), ("s", "short text"), ("n", None), (None, " ".join(words))]
+    got = {r["id"]: (r["class_id"], r["links"]) for r in near_copies.near_copy_classes(frame(spark, rows), "id", "text").collect()}
+    assert len(got) == 302 and got["a007"] == ("a000", 300) and got["b"] == ("b", 300) and got["z"] == ("z", 0)
+    assert near_copies.near_copy_classes(frame(spark, []), "id", "text").count() == 0
+
+
 # 4 abuse
 
 
@@ -464,17 +481,42 @@ def test_replacing_keeps_the_rest(spark):
     assert "Wexhurst" not in got["1"]["surrogates"] and got["1"]["surrogates"].startswith("My name is ")
 
 
-def test_surrogates_are_distinct_and_stable(spark):
-    rows = spark.createDataFrame([("phone", f"{k:04d}") for k in range(400)] + [("name", f"nora f{k}") for k in range(100)], "pii_kind string, pii_value string")
-    a, b = ({(r["pii_kind"], r["pii_value"]): r["surrogate"] for r in pii.assign_surrogates(rows, "k", ["nora", "laura"]).collect()} for _ in range(2))
-    names = [s for (kind, _), s in a.items() if kind == "name"]
-    assert a == b and len(set(names)) == len(names) and all(len(s) == 4 for (kind, _), s in a.items() if kind == "phone")
+FOUND = "pii_kind string, pii_value string, given string, family string"
+
+
+def surrogates(spark, rows, givens=("nora", "laura", "петр", "анна"), key="k"):
+    got = pii.assign_surrogates(spark.createDataFrame(rows, FOUND), key, list(givens)).collect()
+    assert len(got) == len({(r["pii_kind"], r["pii_value"]) for r in got})
+    return {(r["pii_kind"], r["pii_value"]): r["surrogate"] for r in got}
+
+
+def person(given, family):
+    return "name", f"{given} {family}", given, family
+
+
+def test_no_two_surrogates_are_alike_even_in_an_exhausted_form(spark):
+    rows = [("id_number", f"{k:04d}", None, None) for k in range(9_000)] + [("phone", f"01{k:03d}", None, None) for k in range(1_000)]
+    rows += [person(f"g{k % 30}a", f"f{k}") for k in range(200)]
+    a, b = surrogates(spark, rows), surrogates(spark, rows)
+    assert a == b and len(a) == len(rows) and len({(k[0], s) for k, s in a.items()}) == len(rows)
+    real = {(k, v) for k, v, _, _ in rows}
+    assert not real & {(k[0], s) for k, s in a.items()} and surrogates(spark, rows[-5:], key="other") != surrogates(spark, rows[-5:])
+
+
+def test_surrogates_keep_script_ending_and_coreference(spark):
+    got = surrogates(spark, [person("анна", "петрова"), person("nora", "wexhurst"), person("laura", "wexhurst"), ("email", "nora.wexhurst@host.example", None, None), ("address", "улица Садовая, 5", None, None)])
+    assert re.fullmatch("[а-я-]+ [а-я]+", got["name", "анна петрова"]) and "анна" in got["name", "анна петрова"]
+    nora, laura = got["name", "nora wexhurst"].split(), got["name", "laura wexhurst"].split()
+    assert nora[1] == laura[1] and nora[0] != laura[0] and got["email", "nora.wexhurst@host.example"].startswith(".".join(nora) + "@")
+    assert not re.search("[a-z]", got["address", "улица Садовая, 5"]) and got["address", "улица Садовая, 5"].startswith("улица ")
 
 
 def test_pii_of_nothing(spark):
     none = spark.createDataFrame([], "given_name string")
     assert pii.find_pii(frame(spark, []), "id", "text", none, "given_name").count() == 0
-    assert pii.replace_pii(frame(spark, []), "id", "text", none, "given_name").count() == 0
+    assert pii.replace_pii(frame(spark, []), "id", "text", none, "given_name", "k").count() == 0
+    with pytest.raises(ValueError):
+        pii.replace_pii(frame(spark, []), "id", "text", none, "given_name", "")
 
 
 def test_nothing_else_imports_this_subpackage():

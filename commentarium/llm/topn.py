@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from commentarium.tables import load
 
-#: Slices of a group in the first pass. A group of a third of all rows is sorted by so many tasks.
-SALTS = 32
-
 
 def _heads(keys: list[str], n: int):
     """A task that streams sorted Arrow batches and lets the first ``n`` rows of each run of equal keys through.
@@ -45,13 +42,12 @@ def _heads(keys: list[str], n: int):
     return run
 
 
-def top_n_per_group(df: DataFrame, group: str, score: str, ident: str, n: int, salts: int = SALTS) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: str, score: str, ident: str, n: int) -> DataFrame:
     """The ``n`` rows of each ``group`` with the highest ``score``; of equal scores the smaller ``ident`` first.
 
-    Rows are hash-partitioned by the group and a salt, sorted within partitions by score and identifier, and
-    streamed in Arrow batches that let ``n`` rows per run through; a second pass without the salt does the same to
-    the at most ``salts * n`` survivors of each group. So a group of any size is sorted by many tasks and none is
-    ever buffered.
+    Every task first sorts the rows it has by group, score and identifier, and streams them in Arrow batches that let
+    ``n`` rows a group through. Only these are hash-partitioned by the group, sorted within partitions and streamed
+    the same way. So a group of any size is cut down where its rows lie, and none is ever buffered.
 
     Null groups belong to no group and null scores never count: such rows don't come out. A null identifier sorts
     after all others. Repeated rows are rows of their own. NaN scores sort highest, as in Spark. An empty table
@@ -64,10 +60,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, ident: str, n: int, s
     g, s, i = (f"c{names.index(x)}" for x in (group, score, ident))
     rows = inner.filter(F.col(g).isNotNull() & F.col(s).isNotNull())
     order = [F.col(s).desc(), F.col(i).asc_nulls_last()]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(i), F.lit(salts)).cast("int"))
-    first = (
-        salted.repartition(g, "salt").sortWithinPartitions(g, "salt", *order).mapInArrow(_heads([g, "salt"], n), salted.schema).drop("salt")
-    )
+    first = rows.sortWithinPartitions(g, *order).mapInArrow(_heads([g], n), rows.schema)
     second = first.repartition(g).sortWithinPartitions(g, *order).mapInArrow(_heads([g], n), rows.schema)
     return second.toDF(*names)
 

@@ -438,10 +438,19 @@ def test_leaks(spark):
     ]
     items = spark.createDataFrame([(1, passage, "x"), (2, "too short", "y"), (None, passage, "z"), (3, None, "z")], "item int, passage string, id string")
     got = leaks.phrase_matches(frame(spark, docs), items, "id", "text", "item", "passage").collect()
-    assert {(r["id"], r["item"], r["longest_run"]) for r in got} == {("whole", 1, 30), ("marked", 1, 12)}
+    assert {(r["id"], r["item"], r["longest_run"], r["covered_share"]) for r in got} == {("whole", 1, 30, 1.0), ("marked", 1, 12, 0.4), ("gap", 1, 11, 0.7333)}
     assert leaks.phrase_matches(frame(spark, []), items, "id", "text", "item", "passage").count() == 0
 
 
+def test_proximity_does_not_depend_on_the_place(spark):
+    words = [f"p{k}" for k in range(40)]
+    parts = [*words[:11], "x", "y", *words[11:22], "z", *words[22:33]]
+    docs = [(f"d{k}", " ".join(["other"] * k + parts)) for k in range(8)] + [("far", " ".join([*words[:11], *["x"] * 20, *words[11:22], *["y"] * 20, *words[22:33]]))]
+    items = spark.createDataFrame([(1, " ".join(words))], "item int, passage string")
+    got = {r["id"]: (r["longest_run"], r["covered_share"]) for r in leaks.phrase_matches(frame(spark, docs), items, "id", "text", "item", "passage").collect()}
+    assert got == {f"d{k}": (11, 0.825) for k in range(8)}
+
+
 # 10 personal information
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentarium.functions import text as T
+from commentarium.session import written
 
 # Frequent small words of each language, enough to tell sentences apart.
 STOPWORDS = {
@@ -46,6 +47,7 @@ def clean_comments(df: DataFrame, order: str = "ordinal", detector: Callable[[Co
     out = out.withColumn("is_spam", F.col("spam_reason").isNotNull()).withColumn("repeat_key", T.repeat_key(F.col("cleaned_text")))
     if detector is not None:
         out = out.withColumn("language", detector(F.col("cleaned_text")))
+    out = written(out, "cleaned")  # texts are cleaned once, though two branches read them
     firsts = out.groupBy("repeat_key").agg(F.min(order).alias(order)).select(order, F.lit(False).alias("later"))
     return out.join(firsts, order, "left").withColumn("is_duplicate", F.coalesce("later", F.lit(True))).drop("later")
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commentarium.functions.stats import numbered
 from commentarium.operators.scoring import label_by_cuts, label_of
 from commentarium.operators.sentiment import rounded
 
+# Classes, and the grids of thresholds and cuts.
 CLASSES = ("Positive", "Neutral", "Negative")
 THRESHOLDS = (0.45, 0.50, 0.52, 0.55, 0.58, 0.60, 0.65, 0.70)
 CUTS = (0.02, 0.05, 0.08, 0.10, 0.12, 0.15, 0.20)
@@ -19,8 +21,7 @@ def quotas(df: DataFrame, group: str, n: int) -> DataFrame:
     totals = sizes.agg(F.sum("size").alias("total"), F.count("*").alias("groups"))
     base = sizes.join(F.broadcast(totals)).withColumn("slots", F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("size") / F.col("total")).cast("long")))
     off = base.agg((F.lit(n) - F.sum("slots")).alias("off"))
-    order = Window.orderBy(F.desc("size"), group)  # over groups, not rows
-    ranked = base.join(F.broadcast(off)).withColumn("place", F.row_number().over(order) - 1)
+    ranked = numbered(base, [F.desc("size"), F.col(group).asc()], "place").withColumn("place", F.col("place") - 1).join(F.broadcast(off))
     turns = F.floor((F.abs("off") - F.col("place") + F.col("groups") - 1) / F.col("groups"))
     turns = F.greatest(turns, F.lit(0))
     slots = F.greatest(F.col("slots") + F.signum("off") * turns, F.lit(0)).cast("long")
@@ -28,10 +29,13 @@ def quotas(df: DataFrame, group: str, n: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, group: str, ident: str, n: int, seed: int = 42) -> DataFrame:
-    """Each group's quota of rows, in the order of a seeded hash of their id."""
+    """Each group's quota of rows, in the order of a seeded hash of their id.
+
+    No quota exceeds ``n``, so each task keeps no more than ``n`` rows a group before any shuffle.
+    """
     order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.col(ident), F.lit(str(seed)))), ident)
-    w = df.withColumn("__place", F.row_number().over(order)).join(F.broadcast(quotas(df, group, n)), group)
-    return w.filter(F.col("__place") <= F.col("slots")).drop("__place", "size", "slots")
+    first = df.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= n)
+    return first.join(quotas(df, group, n), group).filter(F.col("__place") <= F.col("slots")).drop("__place", "size", "slots")
 
 
 def class_counts(df: DataFrame, truth: str, guess: str, keys: list[str] = []) -> DataFrame:  # noqa: B006

@@ -101,13 +101,13 @@ def agg17_alert_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def stat5_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Bonferroni and Benjamini-Hochberg on one p-value a video: the share of videos with at least as many comments, so all of it can be checked in SQL."""
-    from commentarium.functions.stats import corrected
+    from commentarium.functions.stats import corrected, numbered
 
     per = V.comments(spark, sf).filter(F.col("video_id").isNotNull()).groupBy("video_id").agg(F.count("*").alias("n"))
-    hist = per.groupBy("n").agg(F.count("*").alias("c"))
-    above = hist.alias("a").join(hist.alias("b"), F.col("b.n") >= F.col("a.n")).groupBy(F.col("a.n").alias("n")).agg(F.sum("b.c").alias("above"))
+    first = numbered(per, [F.col("n").asc(), F.col("video_id").asc()], "place").groupBy("n").agg(F.min("place").alias("place"))
     total = per.agg(F.count("*").alias("total"))
-    p = per.join(F.broadcast(above), "n").join(F.broadcast(total)).withColumn("p", F.pow(F.col("above") / F.col("total"), 2)).withColumn("family", F.lit("volume"))
+    above = F.col("total") - F.col("place") + 1
+    p = per.join(first, "n").join(F.broadcast(total)).withColumn("p", F.pow(above / F.col("total"), 2)).withColumn("family", F.lit("volume"))
     out = corrected(p, "p", "family", "video_id")
     return out.select("video_id", F.col("rank").cast("bigint").alias("rank"), "m", "bonferroni", "bh", F.round(F.col("bonferroni_p") + 1e-12, 6).alias("bonferroni_p"), F.round(F.col("bh_p") + 1e-12, 6).alias("bh_p"))
 

@@ -13,12 +13,14 @@ def parse_time(text: Column) -> Column:
 
 def parse_duration(text: Column) -> Column:
     """Seconds of an ISO duration with hours, minutes and seconds; anything else, days too, is 0."""
+    # Fixed value: the shape of a duration.
     shape = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
     part = lambda k: F.coalesce(F.regexp_extract(text, shape, k).try_cast("bigint"), F.lit(0))
     return F.coalesce(part(1) * 3600 + part(2) * 60 + part(3), F.lit(0))
 
 
 def duration_text(seconds: Column) -> Column:
+    # The form of the text, and what stands for none.
     return F.when(seconds > 0, F.format_string("%dm %ds", (seconds / 60).cast("bigint"), seconds % 60)).otherwise("N/A")
 
 
@@ -43,6 +45,7 @@ def engagement_rate(likes: Column, comments: Column, views: Column) -> Column:
 
 def topic_label(keywords: Column) -> Column:
     """Of the first four keywords those longer than two letters, capitalised; 'General' if none is left."""
+    # Four keywords, the joiner and the label of none.
     kept = F.filter(F.slice(keywords, 1, 4), lambda w: F.length(w) > 2)
     named = F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
     return F.when(F.size(kept) == 0, "General").otherwise(F.array_join(named, " · "))

@@ -13,31 +13,31 @@ OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr,
 B, E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 S = f"[{WS}]"
 
-# What links, handles and each spam rule look like, in the order of the rules; words of which each rule needs one.
+# What links, handles and each spam rule look like, in the order of the rules. Beside each rule a code of ours and the words of which it needs one.
 URL = rf"https?://[^{WS}]+|www\.[^{WS}]+"
 HANDLE = r"@[A-Za-z0-9_.]{3,}"
 SPAM_RULES = (
-    (rf"https?://[^{WS}]+", "contains URL (http/https)", ("http",)),
-    (rf"www\.[^{WS}]+", "contains URL (www)", ("www.",)),
-    (HANDLE, "contains @handle", ("@",)),
-    (rf"{B}subscribe{S}+to{S}+my{E}", "subscribe-to-my plug", ("subscribe",)),
-    (rf"{B}check{S}+(?:out{S}+)?my{S}+(?:channel|page|profile){E}", "channel self-promo", ("check",)),
-    (rf"{B}follow{S}+me{E}", "follow-me self-promo", ("follow",)),
-    (rf"{B}link{S}+in{S}+(?:my{S}+)?bio{E}", "link-in-bio promo", ("link",)),
-    (rf"{B}(?:bitcoin|crypto|btc|eth|nft|usdt|solana){E}", "crypto mention", ("bitcoin", "crypto", "btc", "eth", "nft", "usdt", "solana")),
-    (rf"{B}giveaway{E}", "giveaway mention", ("giveaway",)),
-    (rf"{B}dm{S}+me{E}", "DM solicitation", ("dm",)),
-    (rf"{B}whatsapp{E}", "WhatsApp solicitation", ("whatsapp",)),
-    (rf"{B}telegram{E}", "Telegram solicitation", ("telegram",)),
-    (rf"{B}earn{S}+[$]", "earn-money scam", ("earn",)),
-    (rf"{B}make{S}+money{E}", "make-money scam", ("make",)),
-    (rf"{B}cash{S}*app{E}", "CashApp solicitation", ("cash",)),
-    (rf"^{S}*first{S}*[!.]*{S}*$", "lone 'first' comment", ("first",)),
-    (rf"{B}who'?s?{S}+(?:here|watching){S}+in{S}+2[0-9]{{3}}{E}", "who's watching in <year>", ("who",)),
-    (rf"{B}still{S}+watching{S}+in{S}+2[0-9]{{3}}{E}", "still watching in <year>", ("still",)),
-    (rf"{B}like{S}+if{S}+you'?r?e?{S}+(?:still{S}+)?watching{E}", "like-if-watching bait", ("like",)),
-    (rf"{B}gang{S}*[!.]*$", "early gang comment", ("gang",)),
-    (rf"{B}notification{S}+squad{E}", "notification squad bot", ("notification",)),
+    (rf"https?://[^{WS}]+", "link", ("http",)),
+    (rf"www\.[^{WS}]+", "www", ("www.",)),
+    (HANDLE, "handle", ("@",)),
+    (rf"{B}subscribe{S}+to{S}+my{E}", "subscribe", ("subscribe",)),
+    (rf"{B}check{S}+(?:out{S}+)?my{S}+(?:channel|page|profile){E}", "own channel", ("check",)),
+    (rf"{B}follow{S}+me{E}", "follow", ("follow",)),
+    (rf"{B}link{S}+in{S}+(?:my{S}+)?bio{E}", "bio", ("link",)),
+    (rf"{B}(?:bitcoin|crypto|btc|eth|nft|usdt|solana){E}", "coins", ("bitcoin", "crypto", "btc", "eth", "nft", "usdt", "solana")),
+    (rf"{B}giveaway{E}", "giveaway", ("giveaway",)),
+    (rf"{B}dm{S}+me{E}", "message", ("dm",)),
+    (rf"{B}whatsapp{E}", "messenger w", ("whatsapp",)),
+    (rf"{B}telegram{E}", "messenger t", ("telegram",)),
+    (rf"{B}earn{S}+[$]", "earn", ("earn",)),
+    (rf"{B}make{S}+money{E}", "money", ("make",)),
+    (rf"{B}cash{S}*app{E}", "cash", ("cash",)),
+    (rf"^{S}*first{S}*[!.]*{S}*$", "first", ("first",)),
+    (rf"{B}who'?s?{S}+(?:here|watching){S}+in{S}+2[0-9]{{3}}{E}", "who watches", ("who",)),
+    (rf"{B}still{S}+watching{S}+in{S}+2[0-9]{{3}}{E}", "still watches", ("still",)),
+    (rf"{B}like{S}+if{S}+you'?r?e?{S}+(?:still{S}+)?watching{E}", "like if", ("like",)),
+    (rf"{B}gang{S}*[!.]*$", "gang", ("gang",)),
+    (rf"{B}notification{S}+squad{E}", "squad", ("notification",)),
 )
 # Signals of sarcasm.
 SARCASM = (

@@ -12,7 +12,8 @@ from commentarium.functions.scalars import parse_time
 from commentarium.operators.scoring import lexicon_scores
 from commentarium.session import shared_dir
 
-WATERMARK = "3650 days"
+#: A comment delivered again so much later than the newest delivery seen isn't told from a new one; older state is dropped.
+WATERMARK = "30 days"
 
 
 def read_comments(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -21,20 +22,24 @@ def read_comments(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     place = path[:-1] + "[t]" if path.endswith("t") else path  # a pattern, as the source takes no single file
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(place)
     rows = rows.withColumn("published", parse_time(F.col("published_at")))
+    rows = rows.withColumn("delivered", F.coalesce("fetched_at", "published"))
     return rows.filter(F.col("comment_id").isNotNull() & F.col("published").isNotNull())
 
 
+def once(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """First deliveries only. The watermark follows the time of delivery, so comments published long before count too."""
+    return stream.withWatermark("delivered", watermark).dropDuplicatesWithinWatermark(["comment_id"])
+
+
 def weekly_counts(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Distinct comments and their first known likes per week of publication; a comment delivered again counts once."""
-    once = stream.withWatermark("published", watermark).dropDuplicatesWithinWatermark(["comment_id"])
     week = F.window("published", "7 days", startTime="4 days")  # weeks begin on Mondays
-    return once.groupBy(week).agg(F.count("*").alias("comments")).select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), "comments")
+    return once(stream, watermark).groupBy(week).agg(F.count("*").alias("comments")).select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), "comments")
 
 
 def score_new(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Scores of comments that weren't delivered before."""
-    once = stream.withWatermark("published", watermark).dropDuplicatesWithinWatermark(["comment_id"])
-    return lexicon_scores(once.withColumn("cleaned_text", T.cleaned(F.col("text")))).select("comment_id", "sentiment_score", "sentiment_label")
+    return lexicon_scores(once(stream, watermark).withColumn("cleaned_text", T.cleaned(F.col("text")))).select("comment_id", "sentiment_score", "sentiment_label")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

@@ -13,6 +13,7 @@ from commentarium.functions import text as T
 from commentarium.operators import evaluation, scoring, sentiment
 from commentarium.operators.cleaning import clean_comments, delta
 from commentarium.sources import landed
+from commentarium.streaming import comments
 from commentarium.tables import hashed_sample, latest
 
 SCHEMA = "comment_id string, text string, ordinal bigint"
@@ -116,6 +117,33 @@ def test_corrections(spark):
     assert all(r["bh"] or not r["bonferroni"] for r in got.values())
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_numbered_in_several_partitions(spark, parts):
+    rows = [(f"g{k % 3}", k * 37 % 101, f"i{k}") for k in range(300)] + [("g0", None, "x"), ("g0", None, "y")]
+    df = spark.createDataFrame(rows, "g string, p int, i string").repartition(parts)
+    order = [F.col("p").asc_nulls_last(), F.col("i").asc()]
+    want = {}
+    for g in ("g0", "g1", "g2", None):
+        mine = sorted((r for r in rows if g is None or r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        want |= {(g, r[2]): k + 1 for k, r in enumerate(mine)}
+    assert {(r["g"], r["i"]): r["place"] for r in stats.numbered(df, order, "place", "g").collect()} == {k: v for k, v in want.items() if k[0]}
+    assert {(None, r["i"]): r["place"] for r in stats.numbered(df, order, "place").collect()} == {k: v for k, v in want.items() if not k[0]}
+    assert stats.numbered(df.limit(0), order, "place", "g").count() == 0
+
+
+def test_stream_forgets_and_counts_late_comments(spark, tmp_path):
+    fields = "comment_id string, text string, published_at string, fetched_at timestamp"
+    batches = [
+        [("a", "x", "2024-01-01T00:00:00Z", datetime(2024, 1, 1)), ("b", "x", "2024-01-02T00:00:00Z", datetime(2024, 1, 2))],
+        [("a", "x", "2024-01-01T00:00:00Z", datetime(2024, 1, 20)), ("old", "x", "2020-05-05T00:00:00Z", datetime(2024, 1, 21)), ("z", "x", "2024-06-01T00:00:00Z", datetime(2024, 6, 1))],
+        [("late", "x", "2024-01-03T00:00:00Z", datetime(2024, 1, 3)), ("n", "x", "2024-06-02T00:00:00Z", datetime(2024, 6, 2))],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {r["week"]: r["comments"] for r in comments.drained(comments.weekly_counts(comments.read_comments(spark, str(tmp_path / "in"))), "complete").collect()}
+    assert got["2024-01-01"] in (2, 3) and got["2020-05-04"] == 1 and sum(got.values()) in (5, 6)
+
+
 def test_t_test_edges(spark):
     rows = spark.createDataFrame([(0.5, 0.0, 5, 0.5), (0.6, 0.0, 5, 0.5), (0.6, 0.1, 25, 0.55)], "m double, s double, n bigint, mu double")
     t = stats.t_statistic(F.col("m"), F.col("s"), F.col("n"), F.col("mu"))

@@ -23,8 +23,8 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_FILE = "piece_bpe_32k.model"
 #: Most labelled rows the model is fitted on: clean samples, and comments whose label it then agrees with.
 TRAIN_ROWS, MORE_ROWS = 20_000, 12_000
-#: Longest piece; longest stretch of a word that is scored at once (longer words are scored in stretches).
-LONGEST_PIECE, STRETCH = 14, 40
+#: Longest stretch of a word that is learned or scored at once; longer words are taken in stretches.
+STRETCH = 40
 ROUNDS = 4
 #: Taken off each expected count, so that what one word alone shows weighs less; probability of a character no piece covers.
 DISCOUNT, UNKNOWN = 0.3, 1e-7
@@ -74,7 +74,7 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return sorted({p for p in found if p == p.lower() and "▁" not in p[1:] and len(p) <= LONGEST_PIECE})
+    return sorted({p for p in found if p == p.lower() and "▁" not in p[1:]})
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -92,7 +92,7 @@ class Pieces:
     """Finds which stretches of words are pieces, for many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=0)
         hashed = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(hashed)
         self.sorted, self.index = hashed[order], order
@@ -110,7 +110,7 @@ class Pieces:
         for begin in range(width):
             h = np.zeros(rows, dtype=np.uint64)
             live = codes[:, begin] > 0
-            for length in range(1, min(LONGEST_PIECE, width - begin) + 1):
+            for length in range(1, min(self.longest, width - begin) + 1):
                 live = live & (codes[:, begin + length - 1] > 0)
                 if not live.any():
                     break
@@ -220,8 +220,8 @@ def train(samples: list[tuple[str, str]], pieces: list[str]) -> Model:
             continue
         fresh = True
         for token in text.split():
-            word = normal_word(token)[:STRETCH]
-            if word:
+            whole = normal_word(token)
+            for word in (whole[k : k + STRETCH] for k in range(0, len(whole), STRETCH)):
                 counts[word, lang] = counts.get((word, lang), 0) + 1
                 if not fresh and len(word) > 2 and "'" not in word and EDGE.sub("", token)[:1].isupper():
                     capital[word, lang] = capital.get((word, lang), 0) + 1

@@ -54,22 +54,32 @@ def f1_scores(df: DataFrame, truth: str, guess: str, keys: list[str] = []) -> Da
     return counts.withColumn("f1", rounded(F.when(bottom > 0, 2 * F.col("tp") / bottom).otherwise(0.0), 4))
 
 
-def metrics(df: DataFrame, truth: str, guess: str, keys: list[str] = [], all_classes: bool = False) -> DataFrame:  # noqa: B006
+def metrics(df: DataFrame, truth: str, guess: str, keys: list[str] = [], all_classes: bool = False, digits: int = 4) -> DataFrame:  # noqa: B006
     """Accuracy and macro F1, over the classes that occur or over all three."""
     per = class_counts(df, truth, guess, keys)
     bottom = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     f1 = F.when(bottom > 0, 2 * F.col("tp") / bottom).otherwise(0.0 if all_classes else None)
-    return per.groupBy(*keys).agg(F.max("n").alias("n"), rounded(F.sum("tp") / F.max("n"), 4).alias("accuracy"), rounded(F.avg(f1), 4).alias("macro_f1"))
+    return per.groupBy(*keys).agg(F.max("n").alias("n"), rounded(F.sum("tp") / F.max("n"), 4).alias("accuracy"), rounded(F.avg(f1), digits).alias("macro_f1"))
 
 
-def calibrate(df: DataFrame, truth: str) -> tuple[DataFrame, DataFrame]:
+def calibrate(df: DataFrame, truth: str, digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """Macro F1 at each probability threshold (of the rows that are certain then) and at each pair of score cuts."""
     grid = F.explode(F.array(*map(F.lit, THRESHOLDS)))
     swept = df.withColumn("threshold", grid).withColumn("guess", label_of(F.col("neg_prob"), F.col("neu_prob"), F.col("pos_prob"), F.col("threshold")))
     total = df.agg(F.count("*").alias("all_rows"))
-    by_threshold = metrics(swept.filter("guess <> 'Uncertain'"), truth, "guess", ["threshold"], True).join(F.broadcast(total))
+    by_threshold = metrics(swept.filter("guess <> 'Uncertain'"), truth, "guess", ["threshold"], True, digits).join(F.broadcast(total))
     by_threshold = by_threshold.select("threshold", "macro_f1", rounded(F.col("n") / F.col("all_rows"), 4).alias("coverage"), F.col("n").alias("n_certain"))
     cuts = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(-q).alias("q")) for p in CUTS for q in CUTS]))
     cut = df.withColumn("cut", cuts).withColumn("pos_cut", F.col("cut.p")).withColumn("neg_cut", F.col("cut.q"))
     cut = cut.withColumn("guess", label_by_cuts(F.col("sentiment_score"), F.col("pos_cut"), F.col("neg_cut")))
-    return by_threshold, metrics(cut, truth, "guess", ["pos_cut", "neg_cut"], True).select("pos_cut", "neg_cut", "macro_f1")
+    return by_threshold, metrics(cut, truth, "guess", ["pos_cut", "neg_cut"], True, digits).select("pos_cut", "neg_cut", "macro_f1")
+
+
+def best_settings(df: DataFrame, truth: str) -> DataFrame:
+    """``setting, value, macro_f1``: the threshold and the cuts of highest macro F1; of equal ones the first in its grid."""
+    by_threshold, by_cuts = calibrate(df, truth, digits=10)
+    best = by_threshold.agg(F.max_by(F.struct(F.col("threshold").alias("value"), "macro_f1"), F.struct("macro_f1", -F.col("threshold"))).alias("b"))
+    cuts = by_cuts.agg(F.max_by(F.struct("pos_cut", "neg_cut", "macro_f1"), F.struct("macro_f1", -F.col("pos_cut"), "neg_cut")).alias("b"))
+    either = F.array(*[F.struct(F.lit(c).alias("setting"), F.col(f"b.{c}").alias("value"), F.col("b.macro_f1").alias("macro_f1")) for c in ("pos_cut", "neg_cut")])
+    rows = best.select(F.lit("threshold").alias("setting"), "b.value", "b.macro_f1").unionByName(cuts.select(F.inline(either)))
+    return rows.filter(F.col("value").isNotNull()).withColumn("macro_f1", F.round("macro_f1", 4))

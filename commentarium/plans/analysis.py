@@ -139,6 +139,11 @@ def ml10_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return E.calibrate(_labelled(spark, sf), "human")[1]
 
 
+def ml10_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold and the cuts that agree best with the human labels."""
+    return E.best_settings(_labelled(spark, sf), "human")
+
+
 def ml9_quotas(spark: SparkSession, sf: str) -> DataFrame:
     return E.quotas(V.cleaned(spark, sf).filter(clean_mask()), "video_id", SAMPLE_ROWS)
 
@@ -150,7 +155,7 @@ def ml9_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     agg5_fan_features, ml1_standard_scores, ml5_rule_labels, ml2_segments, ml6_segment_records, ml3_k_log, tfidf_trending, stat6_video_shifts, stat7_volume,
-    stat8_keyword_shifts, stat8_trending_shifts, stat9_alerts, agg17_alert_summary, stat5_corrections, agg18_metrics, agg18_f1, ml10_thresholds, ml10_cuts, ml9_quotas, ml9_sample,
+    stat8_keyword_shifts, stat8_trending_shifts, stat9_alerts, agg17_alert_summary, stat5_corrections, agg18_metrics, agg18_f1, ml10_thresholds, ml10_cuts, ml10_best, ml9_quotas, ml9_sample,
 )}
 
 _SC = "WITH" + V.SCORED_SQL
@@ -208,3 +213,8 @@ SQL = {
     "ml9_quotas": "WITH" + V.CLEANED_SQL + _QUOTA + " SELECT video_id, size, slots FROM qt",
     "ml9_sample": "WITH" + V.CLEANED_SQL + _QUOTA + """ SELECT comment_id, video_id FROM (SELECT comment_id, video_id, slots, row_number() OVER (PARTITION BY video_id ORDER BY md5(comment_id || ':42'), comment_id) AS place FROM cl JOIN qt USING (video_id) WHERE NOT is_spam AND NOT is_duplicate) WHERE place <= slots""",
 }
+
+_FINE = {k: SQL[k].replace("+ 1e-9, 4) AS macro_f1", "+ 1e-9, 10) AS macro_f1") for k in ("ml10_thresholds", "ml10_cuts")}
+SQL["ml10_best"] = f"""WITH th AS ({_FINE["ml10_thresholds"]}), ct AS ({_FINE["ml10_cuts"]}),
+    b AS (SELECT 'threshold' AS setting, threshold AS value, macro_f1 FROM th ORDER BY macro_f1 DESC, threshold LIMIT 1), c AS (SELECT * FROM ct ORDER BY macro_f1 DESC, pos_cut, neg_cut DESC LIMIT 1)
+    SELECT setting, value, round(macro_f1, 4) AS macro_f1 FROM (SELECT * FROM b UNION ALL SELECT 'pos_cut', pos_cut, macro_f1 FROM c UNION ALL SELECT 'neg_cut', neg_cut, macro_f1 FROM c)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,18 @@ def topic_label(keywords: Column) -> Column:
     kept = F.filter(F.slice(keywords, 1, 4), lambda w: F.length(w) > 2)
     named = F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
     return F.when(F.size(kept) == 0, "General").otherwise(F.array_join(named, " · "))
+
+
+def signed(number: Column, digits: int) -> Column:
+    """A number with its sign and a fixed number of digits."""
+    return F.format_string(f"%+.{digits}f", number.cast("double"))
+
+
+def grouped(number: Column) -> Column:
+    """A whole number with commas between thousands; null stays null."""
+    return F.when(number.isNotNull(), F.format_string("%,d", number.cast("bigint")))
+
+
+def titled(df: DataFrame) -> DataFrame:
+    """All columns renamed from snake_case to words with capitals."""
+    return df.withColumnsRenamed({c: c.replace("_", " ").title() for c in df.columns})

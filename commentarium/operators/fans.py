@@ -14,7 +14,7 @@ from commentarium.session import written
 
 FEATURES = ("comment_count", "videos_commented", "avg_sentiment", "likes_earned", "recency", "consistency")
 LOGGED = ("comment_count", "videos_commented", "likes_earned")
-K_RANGE, FANS_PER_K, SEED, DEFAULT_K = range(2, 9), 8, 42, 3
+K_RANGE, FANS_PER_K, MIN_FANS, SEED, DEFAULT_K = range(2, 9), 8, 16, 42, 3
 # The rules in their order; (feature, at least or at most, standard deviations).
 RULES = (
     ("Advocates", (("likes_earned", ">=", 0.4), ("avg_sentiment", ">=", 0.3), ("recency", "<=", 0.3))),
@@ -67,33 +67,38 @@ def rule_label(prefix: str = "z_"):
 def segment(fans: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fans with cluster and label, clusters, log of the k tried). k with the best silhouette, the first of equals, unless given.
 
-    Centres are found by k-means|| on the cluster; the silhouette is the simplified one, so both are linear in the rows.
+    Fewer than ``MIN_FANS`` fans give no rows; fans that no k tells apart are fitted with ``DEFAULT_K``. Centres are found by k-means|| on the cluster; the silhouette is the simplified one, so both are linear in the rows.
     """
     spark = fans.sparkSession
     z = [f"z_{f}" for f in FEATURES]
     rows = written(standard_scores(fans).withColumn("features", array_to_vector(F.array(*z))).drop("features"), "fans")
     rows = rows.withColumn("features", array_to_vector(F.array(*z))).cache()
     n = rows.count()
-    log, best = [], None
-    for tried in [k] if k else [x for x in K_RANGE if x <= min(K_RANGE[-1], n // FANS_PER_K)]:
+    log, best, chosen = [], None, k or DEFAULT_K
+    columns = "k int, silhouette double, inertia double, chosen boolean"
+    if n < MIN_FANS:
+        empty = rows.drop("features").withColumn("cluster_id", F.lit(0)).withColumn("cluster_label", F.lit("")).limit(0)
+        rows.unpersist()
+        return empty, cluster_records(empty), spark.createDataFrame([], columns)
+    for tried in [k] if k else [x for x in K_RANGE if x <= n // FANS_PER_K]:
         model = KMeans(k=tried, seed=SEED, featuresCol="features").fit(rows)
-        fitted = model.transform(rows)
-        silhouette = ClusteringEvaluator(featuresCol="features").evaluate(fitted) if tried > 1 and model.summary.k > 1 else 0.0
+        if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+            continue
+        silhouette = ClusteringEvaluator(featuresCol="features").evaluate(model.transform(rows))
         log.append((tried, round(float(silhouette), 4), round(float(model.summary.trainingCost), 4)))
         if best is None or silhouette > best[0]:
-            best = (silhouette, model)
-    tries = spark.createDataFrame(log, "k int, silhouette double, inertia double")
-    if best is None:
-        empty = rows.drop("features").withColumn("cluster_id", F.lit(0)).withColumn("cluster_label", F.lit("")).limit(0)
-        return empty, empty.groupBy("cluster_id", "cluster_label").agg(F.count("*").alias("size")), tries
-    placed = best[1].transform(rows).withColumnRenamed("prediction", "cluster_id").drop("features")
+            best, chosen = (silhouette, model), tried
+    model = best[1] if best else KMeans(k=chosen, seed=SEED, featuresCol="features").fit(rows)
+    tries = spark.createDataFrame([(*row, row[0] == chosen) for row in log], columns)
+    rows.unpersist()
+    placed = model.transform(rows).withColumnRenamed("prediction", "cluster_id").drop("features")
     means = placed.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in z]).withColumn("cluster_label", rule_label())
     placed = placed.join(F.broadcast(means.select("cluster_id", "cluster_label")), "cluster_id")
     return placed, cluster_records(placed), tries
 
 
 def cluster_records(placed: DataFrame, examples: int = 5) -> DataFrame:
-    """Per cluster: size, mean sentiment, centre in the features' own units, the fans nearest to the centre."""
+    """Per cluster: size, its share of all fans in per cent, mean sentiment, centre in the features' own units, the fans nearest to the centre."""
     z = [f"z_{f}" for f in FEATURES]
     own = [F.round(F.expm1(F.greatest(F.avg(F.log1p(F.col(f).cast("double"))), F.lit(0.0))) if f in LOGGED else F.avg(f), 3).alias(f"centre_{f}") for f in FEATURES]
     centres = placed.groupBy("cluster_id", "cluster_label").agg(F.count("*").alias("size"), rounded(F.avg("avg_sentiment"), 4).alias("mean_sentiment"), *own, *[F.avg(c).alias(f"m{c}") for c in z])
@@ -101,4 +106,6 @@ def cluster_records(placed: DataFrame, examples: int = 5) -> DataFrame:
     order = Window.partitionBy("cluster_id").orderBy("apart", "author_channel_id")
     near = placed.join(F.broadcast(centres.select("cluster_id", *[f"m{c}" for c in z])), "cluster_id").withColumn("apart", apart).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= examples)
     tops = near.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "author"))), lambda x: x["author"]).alias("examples"))
-    return centres.drop(*[f"m{c}" for c in z]).join(tops, "cluster_id")
+    total = centres.agg(F.sum("size").alias("fans"))
+    share = F.round(F.col("size") / F.col("fans") * 100 + 1e-9, 2)
+    return centres.drop(*[f"m{c}" for c in z]).join(tops, "cluster_id").join(F.broadcast(total)).withColumn("fans_pct", share).drop("fans")

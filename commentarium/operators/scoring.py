@@ -48,7 +48,7 @@ def label_by_cuts(score: Column, positive: Column | float, negative: Column | fl
 
 
 def lexicon_scores(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
-    """Adds neg_prob, neu_prob, pos_prob, sentiment_score, sentiment_label, emotion and its shares, from word lists.
+    """Adds neg_prob, neu_prob, pos_prob, sentiment_score, sentiment_label and emotion, from word lists.
 
     A word of praise after a denial counts as blame and the other way round. Any scorer that adds the same columns
     may take its place.
@@ -69,3 +69,18 @@ def lexicon_scores(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
     best = F.array_max(F.array(*[F.struct(F.col(f"e.{e}").alias("n"), F.lit(-k).alias("k"), F.lit(e).alias("name")) for k, e in enumerate(EMOTIONS)]))
     out = out.withColumn("emotion", F.when(best["n"] > 0, best["name"]).otherwise("neutral"))
     return out.drop("w", "e")
+
+
+def emotion_shares(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
+    """Adds emotion_<name> for each emotion: its part of the emotional words; all to neutral where there are none."""
+    out = df.withColumn("w", T.words(F.col(text)))
+    out = out.withColumn("e", F.struct(*[T.count_of(F.col("w"), s.split()).alias(e) for e, s in EMOTIONS.items()]))
+    total = sum((F.col(f"e.{e}") for e in EMOTIONS), F.lit(0))
+    part = lambda e: F.when(total == 0, F.lit(1.0 if e == "neutral" else 0.0)).otherwise(F.round(F.col(f"e.{e}") / total + 1e-9, 4))
+    return out.withColumns({f"emotion_{e}": part(e) for e in EMOTIONS}).drop("w", "e")
+
+
+def scores_where(df: DataFrame, wanted: Column, text: str = "cleaned_text") -> DataFrame:
+    """All rows of ``df``, with scores only where ``wanted`` holds; by condition, so that nothing is joined back."""
+    names = ("neg_prob", "neu_prob", "pos_prob", "sentiment_score", "sentiment_label", "emotion")
+    return lexicon_scores(df, text).withColumns({c: F.when(wanted, F.col(c)) for c in names}).drop("n_pos", "n_neg")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-9
@@ -47,3 +47,21 @@ def keyword_hits(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFram
     """A row per comment and keyword found in it; each keyword is a constant pattern, compiled once a task."""
     found = F.array_compact(F.array(*[F.when(F.coalesce(F.lower(F.col(text)).rlike("(?iu)" + p), F.lit(False)), F.lit(k)) for k, p in patterns.items()]).cast("array<string>"))
     return df.withColumn("keyword", F.explode(found))
+
+
+def per_topic(rows: DataFrame, topic: str, least: int = 20, examples: int = 3) -> DataFrame:
+    """Per topic: comments, those with a certain label, prominence by likes, sentiment where ``least`` are certain, most liked comments."""
+    sure = ~F.col("sentiment_label").eqNullSafe("Uncertain")
+    score = F.when(sure, F.col("sentiment_score"))
+    per = rows.groupBy(topic).agg(
+        F.count("*").alias("n_comments"), F.count_if(sure).alias("n_certain"), F.round(F.sum(like_weight(F.col("like_count"))) + EPS, 3).alias("prominence"),
+        rounded(weighted_mean(score, F.col("like_count")), 4).alias("weighted"), rounded(F.avg(score), 4).alias("flat"),
+    )
+    w = Window.partitionBy(topic).orderBy(F.desc("like_count"), "ordinal")
+    first = rows.select(topic, "comment_id", "like_count", "ordinal").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= examples)
+    tops = first.groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("k", "comment_id"))).alias("e"))
+    enough = F.col("n_certain") >= least
+    return per.join(tops, topic).select(
+        topic, "n_comments", "n_certain", "prominence", F.when(enough, F.col("weighted")).alias("weighted_sentiment"), F.when(enough, F.col("flat")).alias("flat_sentiment"),
+        enough.alias("has_sentiment"), F.array_join(F.transform("e", lambda x: x["comment_id"]), ",").alias("examples"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentarium.session import written
@@ -18,6 +18,10 @@ MAX_TERMS, MIN_DF = 500, 2
 KEYWORDS = 20
 
 
+def single_words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), 0), lambda t: ~t.isin(STOPWORDS))
+
+
 def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS, min_df: int = MIN_DF) -> DataFrame:
     """``word, score, count``: sum over texts of the L2-normalised (1 + ln tf)(ln((1+N)/(1+df)) + 1); count is the number of texts.
 
@@ -25,7 +29,7 @@ def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS
     are those in ``min_df`` texts, of these the ``max_terms`` with most occurrences. Only this bounded list is sent to
     every task. ``ident`` is unique.
     """
-    w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"), 0), lambda t: ~t.isin(STOPWORDS))
+    w = single_words(F.col(text))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     texts = written(df.select(F.col(ident).alias("id"), w.alias("w")).select("id", F.concat("w", pairs).alias("t")), "words")  # read three times below
     once = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("word"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
@@ -42,8 +46,13 @@ def term_scores(df: DataFrame, ident: str, text: str, max_terms: int = MAX_TERMS
 
 
 def trending(df: DataFrame, ident: str, text: str, top: int = 30) -> DataFrame:
-    ranked = term_scores(df, ident, text).withColumn("score", F.round(F.col("score") + 1e-9, 3))
-    return ranked.orderBy(F.desc("score"), "word").limit(top)
+    """The ``top`` terms with the highest scores; where no term is in enough texts, the most frequent single words, without score."""
+    ranked = term_scores(df, ident, text).withColumn("score", F.round(F.col("score") + 1e-9, 4))
+    ranked = written(ranked.orderBy(F.desc("score"), "word").limit(top), "terms")
+    if not ranked.isEmpty():
+        return ranked.orderBy(F.desc("score"), "word")
+    words = df.select(F.explode(single_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return words.select("word", F.lit(None).cast("double").alias("score"), "count").orderBy(F.desc("count"), "word").limit(top)
 
 
 def keywords(df: DataFrame, ident: str, text: str, top: int = KEYWORDS) -> list[str]:

@@ -46,10 +46,17 @@ def ml6_segment_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ml3_k_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every k tried with its silhouette and inertia, and which was chosen."""
     _, _, log = N.segment(distinct_fans(load(spark, sf, "fans")).withColumn("avg_sentiment", F.coalesce("avg_sentiment", F.lit(0.0))))
     return log
 
 
+def dq16_fan_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fan's activity, sentiment and segment, for a plot."""
+    placed, _, _ = N.segment(distinct_fans(load(spark, sf, "fans")).withColumn("avg_sentiment", F.coalesce("avg_sentiment", F.lit(0.0))))
+    return placed.select("author_channel_id", "author", "comment_count", "avg_sentiment", "likes_earned", "videos_commented", "recency", "consistency", "cluster_label")
+
+
 def tfidf_trending(spark: SparkSession, sf: str) -> DataFrame:
     return terms.trending(V.cleaned(spark, sf).filter(clean_mask()), "comment_id", "text")
 
@@ -99,6 +106,11 @@ def agg17_alert_summary(spark: SparkSession, sf: str) -> DataFrame:
     return A.family_summary(_alerts(spark, sf))
 
 
+def dq2_top_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three alerts that fire, in the order of the families, each with a short text of its size."""
+    return A.first_alerts(_alerts(spark, sf))
+
+
 def stat5_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Bonferroni and Benjamini-Hochberg on one p-value a video: the share of videos with at least as many comments, so all of it can be checked in SQL."""
     from commentarium.functions.stats import corrected, numbered
@@ -154,8 +166,8 @@ def ml9_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    agg5_fan_features, ml1_standard_scores, ml5_rule_labels, ml2_segments, ml6_segment_records, ml3_k_log, tfidf_trending, stat6_video_shifts, stat7_volume,
-    stat8_keyword_shifts, stat8_trending_shifts, stat9_alerts, agg17_alert_summary, stat5_corrections, agg18_metrics, agg18_f1, ml10_thresholds, ml10_cuts, ml10_best, ml9_quotas, ml9_sample,
+    agg5_fan_features, ml1_standard_scores, ml5_rule_labels, ml2_segments, ml6_segment_records, ml3_k_log, dq16_fan_map, tfidf_trending, stat6_video_shifts, stat7_volume,
+    stat8_keyword_shifts, stat8_trending_shifts, stat9_alerts, agg17_alert_summary, dq2_top_alerts, stat5_corrections, agg18_metrics, agg18_f1, ml10_thresholds, ml10_cuts, ml10_best, ml9_quotas, ml9_sample,
 )}
 
 _SC = "WITH" + V.SCORED_SQL
@@ -166,7 +178,7 @@ _TERMS = """, tk AS (SELECT comment_id AS id, list_filter(regexp_extract_all(reg
     tm AS (SELECT id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS word FROM tk),
     tf AS (SELECT id, word, count(*) AS tf FROM tm GROUP BY ALL), kept AS (SELECT word, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY word HAVING count(*) >= 2 ORDER BY cf DESC, word LIMIT 500),
     wt AS (SELECT id, word, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM tk)) / (1 + df)) + 1) AS x FROM tf JOIN kept USING (word)), nm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM wt GROUP BY id)
-    SELECT word, round(sum(x / norm) + 1e-9, 3) AS score, count(*) AS count FROM wt JOIN nm USING (id) GROUP BY word ORDER BY score DESC, word LIMIT 30"""
+    SELECT word, round(sum(x / norm) + 1e-9, 4) AS score, count(*) AS count FROM wt JOIN nm USING (id) GROUP BY word ORDER BY score DESC, word LIMIT 30"""
 _TTEST = """, g AS (SELECT {key} AS item, count(*) AS n, avg(sentiment_score) AS mean, stddev_samp(sentiment_score) AS sd FROM {rows} WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) >= {least}), mu AS (SELECT avg(sentiment_score) AS mu FROM cdf)
     SELECT item, n, CASE WHEN n > 1 THEN CASE WHEN sd = 0 THEN CASE WHEN mean = mu THEN NULL ELSE sign(mean - mu) * CAST('inf' AS DOUBLE) END ELSE round((mean - mu) / (sd / sqrt(n)) + 1e-9, 3) + 0.0 END END AS t, round(mean - mu + 1e-9, 4) + 0.0 AS delta, count(*) OVER () AS m FROM g, mu"""
 _KHITS = ", h AS (SELECT unnest([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {V.q(T.keyword_pattern(k, False))}, 'i') THEN '{k}' END" for k in KEYWORDS) + "]) AS keyword, sentiment_score FROM cdf)"

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from commentarium.functions import scalars as X
 from commentarium.functions import text as T
-from commentarium.operators import scoring, sentiment, terms
+from commentarium.operators import scoring, sentiment, terms, topics
 from commentarium.operators.sentiment import rounded
 from commentarium.plans import views as V
 from commentarium.session import written
 
 KEYWORDS = ("sourdough experiment", "drone shot", "boss fight", "soundtrack", "pottery lesson", "chess endgame", "second chapter")
+_TOPIC_COLUMNS = ("comment_id", "video_id", "like_count", "ordinal", "sentiment_score", "sentiment_label")
 
 
 def x1_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,22 +110,18 @@ def agg14_best_videos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg6_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Topics given by the videos' first tag: comments, prominence, sentiment where at least twenty are certain, three most liked."""
-    tags = V.videos(spark, sf).select("video_id", F.lower(F.trim(F.get("tags", 0))).alias("topic")).filter("topic <> ''")
-    rows = V.scored(spark, sf).join(tags, "video_id")
-    sure = ~F.col("sentiment_label").eqNullSafe("Uncertain")
-    score = F.when(sure, F.col("sentiment_score"))
-    per = rows.groupBy("topic").agg(
-        F.count("*").alias("n_comments"), F.count_if(sure).alias("n_certain"), F.round(F.sum(sentiment.like_weight(F.col("like_count"))) + 1e-9, 3).alias("prominence"),
-        rounded(sentiment.weighted_mean(score, F.col("like_count")), 4).alias("weighted"), rounded(F.avg(score), 4).alias("flat"),
-    )
-    w = Window.partitionBy("topic").orderBy(F.desc("like_count"), "ordinal")
-    tops = rows.select("topic", "comment_id", "like_count", "ordinal").withColumn("k", F.row_number().over(w)).filter("k <= 3").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("k", "comment_id"))).alias("e"))
-    enough = F.col("n_certain") >= 20
-    return per.join(tops, "topic").select(
-        "topic", "n_comments", "n_certain", "prominence", F.when(enough, F.col("weighted")).alias("weighted_sentiment"), F.when(enough, F.col("flat")).alias("flat_sentiment"),
-        enough.alias("has_sentiment"), F.array_join(F.transform("e", lambda x: x["comment_id"]), ",").alias("examples"),
-    )
+    """Topics given by the videos' tags, each distinct one: comments, prominence, sentiment where at least twenty are certain, three most liked."""
+    names = F.array_distinct(F.transform(F.array_compact("tags"), lambda t: F.lower(F.trim(t))))
+    tags = V.videos(spark, sf).select("video_id", F.explode(names).alias("topic")).filter("topic <> ''")
+    rows = written(V.scored(spark, sf).select(*_TOPIC_COLUMNS), "scored")  # read twice
+    return sentiment.per_topic(rows.join(tags, "video_id"), "topic")
+
+
+def agg6_modelled_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the topics found in the comments themselves."""
+    rows = written(V.scored(spark, sf).select(*_TOPIC_COLUMNS, "cleaned_text"), "scored")
+    found = written(topics.topic_model(rows, "comment_id", "cleaned_text"), "topics").filter("topic_id >= 0")
+    return sentiment.per_topic(rows.drop("cleaned_text").join(found, "comment_id"), "topic_id")
 
 
 def agg16_averages(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +159,7 @@ def dq4_views_over_time(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     agg16_averages, dq3_insights, dq3_trending_insights, dq4_views_over_time,
     x1_scores, agg1_weighted_mean, f17_gap, agg2_sentiment_over_time, agg3_top_fans, agg4_keywords, dq8_label_shares, dq11_emotions, dq12_drill_down,
-    dq13_top_per_emotion, dq14_extremes, dq1_header, dq5_top_videos, agg14_best_videos, agg6_topics,
+    dq13_top_per_emotion, dq14_extremes, dq1_header, dq5_top_videos, agg14_best_videos, agg6_topics, agg6_modelled_topics,
 )}
 
 _SC = "WITH" + V.SCORED_SQL
@@ -194,7 +191,7 @@ SQL = {
         (SELECT count(*) AS analysed, {_PCT.format('Positive')} AS positive_pct, {_PCT.format('Negative')} AS negative_pct FROM cdf)""",
     "dq5_top_videos": "WITH" + V.VIDEOS_SQL + " SELECT video_id, CASE WHEN length(title) > 40 THEN left(title, 40) || '…' ELSE title END AS title, view_count FROM vid WHERE view_count IS NOT NULL ORDER BY view_count DESC, video_id LIMIT 10",
     "agg14_best_videos": "WITH" + V.VIDEOS_SQL + f", r AS (SELECT *, {_RATE} AS rate FROM vid), a AS (SELECT 'views' AS what, video_id, CAST(view_count AS DOUBLE) AS value FROM r WHERE view_count IS NOT NULL ORDER BY view_count DESC, video_id LIMIT 1), b AS (SELECT 'engagement' AS what, video_id, CAST(rate AS DOUBLE) AS value FROM r WHERE rate IS NOT NULL ORDER BY rate DESC, video_id LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b",
-    "agg6_topics": _SCV + f""", tg AS (SELECT video_id, lower(trim(tags[1], ' ')) AS topic FROM vid WHERE trim(tags[1], ' ') <> ''), r AS (SELECT sc.*, topic FROM sc JOIN tg USING (video_id)),
+    "agg6_topics": _SCV + f""", tg AS (SELECT DISTINCT * FROM (SELECT video_id, lower(trim(unnest(tags), ' ')) AS topic FROM vid) WHERE topic <> ''), r AS (SELECT sc.*, topic FROM sc JOIN tg USING (video_id)),
         p AS (SELECT topic, count(*) AS n_comments, count(*) FILTER (sentiment_label <> 'Uncertain') AS n_certain, round(sum(ln(1 + greatest(like_count, 0))) + 1e-9, 3) AS prominence,
               round(coalesce(CASE WHEN {_W6} = 0 THEN avg(CASE WHEN sentiment_label <> 'Uncertain' THEN sentiment_score END) ELSE sum(CASE WHEN sentiment_label <> 'Uncertain' THEN sentiment_score * ln(1 + greatest(like_count, 0)) END) / {_W6} END, 0) + 1e-9, 4) AS weighted,
               round(avg(CASE WHEN sentiment_label <> 'Uncertain' THEN sentiment_score END) + 1e-9, 4) AS flat FROM r GROUP BY topic),

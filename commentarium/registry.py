@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("plans.clean", "plans.sentiment", "plans.analysis", "plans.extra")
+MODULES = ("plans.clean", "plans.sentiment", "plans.analysis", "plans.extra", "plans.shown")
 FLAGSHIP = "agg2_sentiment_over_time"
 
 

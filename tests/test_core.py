@@ -10,7 +10,7 @@ from commentarium import registry
 from commentarium.functions import scalars as X
 from commentarium.functions import stats
 from commentarium.functions import text as T
-from commentarium.operators import evaluation, scoring, sentiment
+from commentarium.operators import alerts, evaluation, fans, routing, scoring, sentiment, terms
 from commentarium.operators.cleaning import clean_comments, delta
 from commentarium.sources import landed
 from commentarium.streaming import comments
@@ -179,6 +179,91 @@ def test_landed_pages_and_csv(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out")).first()[:] == ("a", 'x "y", z', "p|q")
 
 
+def test_landed_lists_stop_and_keep_their_order(spark, tmp_path):
+    item = lambda v: {"snippet": {"resourceId": {"videoId": v}}}
+    pages = [
+        {"page": 1, "nextPageToken": "p3", "items": [item("c"), item(None), item("")]}, {"page": 0, "nextPageToken": "p2", "items": [item("b"), item("a")]},
+        {"page": 2, "items": [item("d")]}, {"page": 3, "items": [item("never")]},
+    ]
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, pages)))
+    read = lambda n: [r["video_id"] for r in landed.video_ids(spark, str(tmp_path / "p.json"), n).orderBy("video_pos").collect()]
+    assert read(100) == ["b", "a", "c", "d"] and read(3) == ["b", "a", "c"]
+    (tmp_path / "gap.json").write_text("\n".join(json.dumps(p) for p in pages if p["page"] != 1))
+    assert landed.video_ids(spark, str(tmp_path / "gap.json")).count() == 2
+    lines = [{"id": f"{v}{k}", "videoId": v, "page_pos": k, "snippet": {"topLevelComment": {"snippet": {"textDisplay": "the very same text"}}}} for v in "abz" for k in range(2)]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, lines)))
+    rows = landed.all_comments(spark, str(tmp_path / "c.json"), landed.video_ids(spark, str(tmp_path / "p.json")))
+    assert [r["comment_id"] for r in rows.orderBy("ordinal").collect()] == ["b0", "b1", "a0", "a1"]
+    assert [r["comment_id"] for r in clean_comments(rows).filter("NOT is_duplicate").collect()] == ["b0"]
+
+
+def test_channel_by_handle_and_id(spark, tmp_path):
+    (tmp_path / "ch.json").write_text("\n".join(json.dumps({"id": f"i{k}", "snippet": {"customUrl": f"@Name{k}"}}) for k in range(2)))
+    path = str(tmp_path / "ch.json")
+    assert [r["channel_id"] for r in landed.channel(spark, path, handle="@name1").collect()] == ["i1"]
+    assert landed.channel(spark, path, channel_id="i0").count() == 1 and landed.channel(spark, path, channel_id="x").count() == 0
+
+
+def test_labelling_sample_has_blank_labels(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "v", 1, "en", "x", "x", 9)], "comment_id string, video_id string, like_count bigint, language string, text string, cleaned_text string, more int")
+    landed.write_labelling_sample(rows, str(tmp_path / "s"))
+    got = landed.labelled(spark, str(tmp_path / "s")).collect()
+    assert len(got) == 1 and not got[0]["human_label"] and got[0]["text"] == "x"
+
+
+def unloadable():
+    """A loader that fails, made inside a function so that it is sent to the tasks whole."""
+
+    def load():
+        raise OSError("no such model")
+
+    return load
+
+
+@pytest.mark.parametrize("first, other, want", [
+    (routing.english_model, routing.word_list_model, ["Positive", "Neutral", "Positive", "Neutral"]),
+    (routing.english_model, unloadable(), ["Positive", "Neutral", "Neutral", "Neutral"]),
+    (unloadable(), unloadable(), ["Positive", "Positive", "Positive", "Neutral"]),
+])
+def test_routing_and_models_that_fail(spark, first, other, want):
+    rows = spark.createDataFrame([("a", "great great good", "en"), ("b", "merci magnifique", None), ("c", "merci magnifique", "fr"), ("d", None, "xx")], "i string, t string, l string")
+    got = routing.routed_scores(rows, "i", "t", F.col("l"), first, other, batch=1).orderBy("i").collect()
+    assert [r["sentiment_label"] for r in got] == want and [r["route"] for r in got] == ["first", "first", "other", "other"]
+    assert routing.routed_scores(rows.limit(0), "i", "t", F.col("l")).count() == 0
+
+
+def test_segments_need_fans_and_log_the_choice(spark):
+    def made(n, spread):
+        return spark.range(n).select(F.col("id").cast("string").alias("author_channel_id"), F.col("id").cast("string").alias("author"), *[(F.col("id") % 2 * spread + F.col("id") % 3 * 0.01 * spread).alias(f) for f in fans.FEATURES])
+
+    assert [x.count() for x in fans.segment(made(15, 50))] == [0, 0, 0] and fans.segment(made(15, 50), k=2)[0].count() == 0
+    placed, records, log = fans.segment(made(40, 50))
+    tried = log.orderBy("k").collect()
+    assert placed.count() == 40 and [r["chosen"] for r in tried] == [r is max(tried, key=lambda r: r["silhouette"]) for r in tried]
+    assert records.agg(F.sum("size"), F.round(F.sum("fans_pct"))).first()[:] == (40, 100.0)
+    placed, _, log = fans.segment(made(40, 0))
+    assert placed.count() == 40 and log.count() == 0
+
+
+def test_terms_of_too_few_texts(spark):
+    rows = spark.createDataFrame([("a", "telescope build telescope the")], "i string, t string")
+    assert [r[:] for r in terms.trending(rows, "i", "t").collect()] == [("telescope", None, 2), ("build", None, 1)]
+    assert terms.trending(rows.limit(0), "i", "t").count() == 0
+
+
+def test_first_alerts_and_number_texts(spark):
+    rows = spark.createDataFrame([("keyword", "k" * 60, 1234567, 0.5, True), ("velocity", "v", 3, 9.0, True), ("sentiment", "s", 30, -0.2, True), ("sentiment", "t", 30, 0.9, False), ("keyword", "x", 1, 0.1, True)], "family string, item string, n bigint, delta double, fired boolean")
+    got = [r[:] for r in alerts.first_alerts(rows).collect()]
+    assert got == [("sentiment", "s", "-0.200", "30"), ("velocity", "v", "+9.000", "3"), ("keyword", "k" * 55, "+0.500", "1,234,567")]
+
+
+def test_topics_aggregate_where_enough_is_certain(spark):
+    rows = spark.createDataFrame([("c%02d" % k, k % 2, 0, k, 1.0, "Positive" if k < 41 else "Uncertain") for k in range(50)], "comment_id string, topic int, like_count bigint, ordinal bigint, sentiment_score double, sentiment_label string")
+    got = {r["topic"]: r for r in sentiment.per_topic(rows, "topic", least=21).collect()}
+    assert (got[0]["has_sentiment"], got[1]["has_sentiment"], got[1]["weighted_sentiment"]) == (True, False, None)
+    assert got[0]["examples"] == "c00,c02,c04" and got[0]["weighted_sentiment"] == 1.0
+
+
 def test_keyword_patterns(spark):
     rows = spark.createDataFrame([("the drone  shot here",), ("drone shot",), ("drones hot",), (None,)], "text string")
     loose, strict = (T.matches(F.col("text"), T.keyword_pattern("drone shot", x)) for x in (True, False))

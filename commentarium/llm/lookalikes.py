@@ -39,21 +39,23 @@ SCRIPTS = frozenset(
 EMOJI = r"\p{So}\p{Sk}\p{Emoji_Presentation}"
 INVISIBLE = regex.compile(
     rf"(?<![{EMOJI}️⃣\U000E0020-\U000E007F])‍|‍(?![{EMOJI}\p{{Emoji=Yes}}])"
-    rf"|(?<=[\p{{L}}\s]|^)[︀-️]|(?<=\p{{N}})[︀-️](?!⃣)"
+    rf"|(?<=[[\p{{L}}\s]--\p{{Emoji=Yes}}]|^)[︀-️]|(?<=\p{{N}})[︀-️](?!⃣)"
     rf"|(?<![{EMOJI}\U000E0020-\U000E007F])[\U000E0020-\U000E007F]"
     r"|[\p{Cf}͏ᅟᅠ឴឵ㅤﾠ--[‍\U000E0020-\U000E007F]]",
     regex.V1,
 )
 BLANK = regex.compile(r"[\p{Zs}\t--[\ ]]", regex.V1)
+IS_EMOJI = regex.compile(r"\p{Emoji=Yes}")
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
-#: What a value must hold to be looked at more closely; for the JVM, so that plain values never reach Python.
-SUSPECT = (
-    r"[\p{Mn}\p{Me}\p{Cf}\t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2100}-\x{214F}\x{FB00}-\x{FB4F}"
-    r"\x{FF00}-\x{FFEF}\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F1FF}\x{2460}-\x{24FF}\x{132}\x{133}\x{149}\x{1C4}-\x{1CC}"
-    r"\x{1F1}-\x{1F3}\x{115F}\x{1160}\x{3164}]"
-    r"|\p{IsLatin}[\p{L}\p{N}\p{M}]*[\p{L}&&[^\p{IsLatin}]]|[\p{L}&&[^\p{IsLatin}]][\p{L}\p{N}\p{M}]*\p{IsLatin}"
-    r"|\p{IsCyrillic}[\p{L}\p{N}\p{M}]*\p{IsGreek}|\p{IsGreek}[\p{L}\p{N}\p{M}]*\p{IsCyrillic}"
-)
+#: Scripts as the JVM knows them; those that one word may mix stand together.
+JVM_SCRIPTS = (
+    ("Cyrillic",), ("Greek",), ("Armenian",), ("Hebrew",), ("Arabic",), ("Syriac",), ("Devanagari",), ("Bengali",), ("Gurmukhi",), ("Gujarati",), ("Tamil",), ("Telugu",),
+    ("Kannada",), ("Malayalam",), ("Sinhala",), ("Thai",), ("Lao",), ("Tibetan",), ("Myanmar",), ("Georgian",), ("Ethiopic",), ("Cherokee",), ("Khmer",), ("Mongolian",),
+    ("Coptic",), ("Han", "Hiragana", "Katakana", "Hangul", "Bopomofo"),
+)
+_BETWEEN = r"[\p{N}\p{M}]*"
+#: Ranges of suspect characters are joined over gaps of up to so many others, beyond the blocks of Latin letters.
+GAP, LATIN_END = 64, 0x250
 
 
 class Classes:
@@ -97,7 +99,7 @@ def _links() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[s
     for point in range(0x80, sys.maxunicode + 1):
         char = chr(point)
         parts = unicodedata.decomposition(char)
-        if not parts:
+        if not parts or IS_EMOJI.match(char):
             continue
         if parts.startswith(FORM_TAGS):
             plain = unicodedata.normalize("NFKC", char)
@@ -111,6 +113,38 @@ def _links() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[s
     return forms, accents, across
 
 
+def _ranges(points: Iterable[int]) -> str:
+    """A few ranges, as in a character class, that hold all of ``points``."""
+    joined: list[list[int]] = []
+    for p in sorted(points):
+        if joined and p - joined[-1][1] <= (GAP if joined[-1][1] >= LATIN_END else 1):
+            joined[-1][1] = p
+        else:
+            joined.append([p, p])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in joined)
+
+
+@lru_cache(maxsize=1)
+def suspect() -> str:
+    """What a value must hold to be looked at more closely; for the JVM, so that plain values never reach Python.
+
+    Made from the same pairs as the rewriting, so it misses nothing that the rewriting changes: any form, anything
+    that may combine, be invisible, a blank, or unknown to the JVM, and two neighbouring letters of different scripts.
+    ASCII, which most values are written in, is told apart by quick classes first.
+    """
+    forms, accents, _ = _links()
+    after = {ord(pair[-1]) for pair, _ in accents if unicodedata.category(pair[-1])[0] != "M"}
+    found = _ranges({ord(a) for a, _ in forms} | after)
+    groups = ["".join(f"\\p{{Is{name}}}" for name in names) for names in JVM_SCRIPTS]
+    others = "|".join(rf"[{group}]{_BETWEEN}[\p{{L}}&&[^{group}]]" for group in groups)
+    latin = rf"{_BETWEEN}[\p{{L}}&&[^\p{{IsLatin}}]]"
+    return (
+        rf"\t|[a-zA-Z](?![a-zA-Z ]){latin}"
+        rf"|(?=[^\x00-\x7F])(?:[\p{{M}}\p{{Cf}}\p{{Zs}}\p{{Cn}}\x{{115F}}\x{{1160}}\x{{3164}}\x{{FFA0}}{found}]|\p{{IsLatin}}{latin}"
+        rf"|[\p{{L}}&&[\p{{IsCommon}}\p{{IsInherited}}]]{_BETWEEN}\p{{L}}|{others})"
+    )
+
+
 class Rewriter:
     """Representatives and automata for given corpus frequencies of strings."""
 
@@ -242,9 +276,9 @@ def consistent_forms(df: DataFrame, ident: str, columns: Iterable[str]) -> DataF
     counts = piece_counts(df, columns)
     fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("value")) for c in columns])
     long = df.select(F.col(ident).alias("id"), F.explode(fields).alias("f")).select("id", "f.field_name", "f.value")
-    suspect = long.filter(F.col("value").rlike(SUSPECT))
-    kind = suspect.schema["id"].dataType.simpleString()
-    done = suspect.mapInArrow(_rewriting(counts), f"id {kind}, field_name string, plain string, kinds array<string>")
+    looked_at = long.filter(F.col("value").rlike(suspect()))
+    kind = looked_at.schema["id"].dataType.simpleString()
+    done = looked_at.mapInArrow(_rewriting(counts), f"id {kind}, field_name string, plain string, kinds array<string>")
     return done.filter(F.size("kinds") > 0).withColumnRenamed("id", ident)
 
 

@@ -4,9 +4,12 @@ import collections
 import os
 import random
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from commentarium.llm import abuse, clusters, languages, leaks, lookalikes, near_copies, pii, registry, terms, tokens, topn
 from commentarium.tables import distinct_fans, load
@@ -316,6 +319,28 @@ def test_consistent_forms_of_awkward_values(spark):
     assert lookalikes.consistent_forms(frame(spark, []), "id", ["text"]).count() == 0
 
 
+def test_nothing_that_is_rewritten_misses_the_first_look(spark):
+    """Every character of the first planes outside the large blocks, by itself and beside letters of several scripts."""
+    points = [p for p in (*range(0x80, 0x3400), 0x4E00, 0xAC00, *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1F300)) if unicodedata.category(chr(p)) not in ("Cn", "Co", "Cs")]
+    rewriter = lookalikes.Rewriter({})
+    changed = [v for p in points for v in (chr(p), "a" + chr(p), chr(p) + "a", "я" + chr(p), chr(p) + "λ", "日" + chr(p), chr(p) + "1a") if rewriter.rewrite(v)[1]]
+    rows = spark.createDataFrame(pa.table({"v": changed}))
+    assert len(changed) > 10_000 and rows.filter(~F.col("v").rlike(lookalikes.suspect())).count() == 0
+    plain = spark.createDataFrame([(v,) for v in ("plain words, 12 of them", "été où ça", "просто текст", "απλό κείμενο", "普通の文", "한국어", "nice 👍🏽")], "v string")
+    assert plain.filter(F.col("v").rlike(lookalikes.suspect())).count() <= 1  # skin tones combine with nothing, prolonged sounds may
+
+
+@pytest.mark.parametrize("text", ["Ⓜ️ and ℹ️", "㊗️ 🈁", "tree 🎄"])
+def test_emoji_are_no_forms(text):
+    assert lookalikes.Rewriter({}).rewrite(text) == (text, set())
+
+
+@pytest.mark.parametrize("word", ["\u0430\u0562\u0433\u0434", "\u03b1\u0532\u03b3", "\uab70\u043b\u043e"])
+def test_words_of_two_other_scripts_are_cases(spark, word):
+    got = lookalikes.consistent_forms(spark.createDataFrame([("a", f"so {word} it is")], "i string, t string"), "i", ["t"]).collect()
+    assert [r["kinds"] for r in got] == [["script"]]
+
+
 def test_look_alike_classes_are_transitive():
     c = lookalikes.Classes()
     for a, b in (("a", "b"), ("c", "d"), ("b", "c")):

@@ -68,7 +68,8 @@ LED = regex.compile(rf"(?:{_CAP}|\p{{Lu}}\.) $")
 #: Quick looks that tell whether the slower patterns can match.
 MAY_BE_EMAIL = re.compile(r"@|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:AT|at)\s[\w\-]+\s(?:DOT|dot)\s")
 MAY_BE_NUMBER = re.compile(r"\d")
-MAY_BE_ADDRESS = re.compile("(?i)" + "|".join((STREETS_EN, STREETS_DE, STREETS_FR, STREETS_ES, STREETS_RU)))
+#: Stretches that an address cannot leave: it holds no other characters, and no dot after these letters (none ends an abbreviation of streets) or digits.
+STRETCH = re.compile(r"[\w ,'’\-/]+(?:(?<![b-mo-qs-z0-9])\.[\w ,'’\-/]*)*")
 
 
 @lru_cache(maxsize=2)
@@ -77,6 +78,13 @@ def _ordinary(name: str) -> frozenset[str]:
         return frozenset(f.read().split("\n"))
 
 
+def _addresses(text: str) -> Iterator[regex.Match]:
+    """Matches of ``ADDRESS`` in the stretches that hold a digit, which every address does."""
+    for part in STRETCH.finditer(text):
+        if MAY_BE_NUMBER.search(text, *part.span()):
+            yield from ADDRESS.finditer(text, *part.span())
+
+
 def patterned(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, begin, end, value) of what a pattern tells: mails, phones, identity numbers, addresses; none overlap."""
     taken: list[tuple[int, int]] = []
@@ -93,10 +101,8 @@ def patterned(text: str) -> Iterator[tuple[str, int, int, str]]:
             yield "email", m.start("user"), m.end(), f"{user}@{host}".lower()
     if not MAY_BE_NUMBER.search(text):
         return
-    for kind, pattern in (("id_number", ID_NUMBER), ("phone", PHONE), ("address", ADDRESS)):
-        if kind == "address" and not MAY_BE_ADDRESS.search(text):
-            continue
-        for m in pattern.finditer(text):
+    for kind, found in (("id_number", ID_NUMBER.finditer(text)), ("phone", PHONE.finditer(text)), ("address", _addresses(text))):
+        for m in found:
             a, b = m.span()
             value = m.group()
             if kind == "address":

@@ -319,6 +319,12 @@ def test_consistent_forms_of_awkward_values(spark):
     assert lookalikes.consistent_forms(frame(spark, []), "id", ["text"]).count() == 0
 
 
+@pytest.mark.parametrize("text", ["Hauptstr. 5, da", "ул. Ленина, д. 5: да", "Calle Mayor, n. 12b. Avda. Sol 4", "at 12 Oak Street. 14 Elm St", "end.12 rue de la Paix", "C/ Sol, nº 4", "5 bis rue l’Eau\n6 rue du Lac", "no digits on Oak Street"])
+def test_addresses_in_stretches_are_those_of_the_whole_text(text):
+    for whole in (text, "so. " + text, text + "! then " + text):
+        assert [m.span() for m in pii._addresses(whole)] == [m.span() for m in pii.ADDRESS.finditer(whole)]
+
+
 def test_nothing_that_is_rewritten_misses_the_first_look(spark):
     """Every character of the first planes outside the large blocks, by itself and beside letters of several scripts."""
     points = [p for p in (*range(0x80, 0x3400), 0x4E00, 0xAC00, *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1F300)) if unicodedata.category(chr(p)) not in ("Cn", "Co", "Cs")]

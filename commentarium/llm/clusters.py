@@ -15,6 +15,8 @@ from commentarium.tables import distinct_fans, load
 
 #: Neighbours of a record, all of which it is linked to, and reverse neighbours that take part in a local join.
 NEIGHBOURS, REVERSE = 10, 10
+#: Pairs that a local join holds at a time, so that a task's memory doesn't follow the size of its batches.
+PAIRS = 100_000
 #: Descent ends when a round changes less than this share of all neighbours.
 CHANGED = 0.01
 #: Starting neighbours come from windows of so many records along space-filling curves with so many shifts.
@@ -103,29 +105,30 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Among the neighbours and reverse neighbours of one record, pairs nearer than what one of them knows."""
+    """Among the neighbours and reverse neighbours of one record, pairs nearer than what one of them knows.
+
+    Holds a batch and at most ``PAIRS`` pairs of it (or those of one record, if they are more).
+    """
     for b in batches:
         lists = b.column(0)
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
         flat = lists.flatten()
         ids, v, radius = flat.field("m"), _matrix(flat.field("v")), flat.field("r").to_numpy(zero_copy_only=False)
-        left, right, dist = [], [], []
         sizes = np.diff(offsets)
         for size in np.unique(sizes[sizes > 1]):
-            at = offsets[:-1][sizes == size][:, None] + np.arange(size)
             i, j = np.triu_indices(size, 1)
-            a, c = at[:, i].ravel(), at[:, j].ravel()
-            d = np.sqrt(((v[a] - v[c]) ** 2).sum(axis=1))
-            for x, y in ((a, c), (c, a)):
-                near = (d < radius[x]) & (d >= 0)
-                left.append(x[near])
-                right.append(y[near])
-                dist.append(d[near])
-        if left:
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right))), pa.array(np.concatenate(dist))], names=["id", "nid", "d"]
-            )
+            starts, most = offsets[:-1][sizes == size], max(1, PAIRS // len(i))
+            for begin in range(0, len(starts), most):
+                at = starts[begin : begin + most, None] + np.arange(size)
+                a, c = at[:, i].ravel(), at[:, j].ravel()
+                d = np.sqrt(((v[a] - v[c]) ** 2).sum(axis=1))
+                near, back = d < radius[a], d < radius[c]
+                left, right = np.concatenate([a[near], c[back]]), np.concatenate([c[near], a[back]])
+                if len(left):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(np.concatenate([d[near], d[back]]))], names=["id", "nid", "d"]
+                    )
 
 
 def neighbour_graph(points: DataFrame, changed: float = CHANGED) -> DataFrame:

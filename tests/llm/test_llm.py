@@ -4,6 +4,7 @@ import collections
 import os
 import random
 import re
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -82,6 +83,25 @@ def test_clusters_found(spark):
     assert all(i.split("-")[0] == leader.split("-")[0] for i, leader in got.items()) and len(got) >= 850
 
 
+def test_local_join_holds_few_pairs():
+    rng = np.random.default_rng(5)
+    n, size = 5_000, 20
+    v = rng.normal(size=(n * size, 4))
+    members = pa.StructArray.from_arrays(
+        [pa.array([f"f{k}" for k in range(n * size)]), pa.ListArray.from_arrays(pa.array(np.arange(n * size + 1) * 4, pa.int32()), pa.array(v.ravel())), pa.array(np.full(n * size, np.inf))], names=["m", "v", "r"]
+    )
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), members)
+    batch = pa.RecordBatch.from_arrays([lists], names=["ms"])
+    before, found = pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for out in clusters._local_join(iter([batch])):
+        found += out.num_rows
+        assert pa.total_allocated_bytes() - before < 40_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * size * (size - 1) and peak < 60_000_000
+
+
 def divided(spark, pairs):
     both = [(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])]
     edges = spark.createDataFrame(both, "a string, b string, w double").groupBy("a", "b").agg({"w": "sum"}).toDF("a", "b", "w")

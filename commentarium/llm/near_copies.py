@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,10 @@ MIN_SHARE, MIN_WORDS = 0.7, 30
 SKETCHES, KEPT = 40, 2
 #: Powers of rarity by which the sketches draw words, in turn: most look at rare words, some also at commoner ones.
 RARITY = (1.0, 1.0, 0.6)
-#: Buckets of more texts than this go the exact way (shared rare words) instead of being paired.
-LARGEST_BUCKET = 256
+#: Buckets of more texts than this go the exact way (shared rare words) instead of being paired within one task.
+LARGEST_BUCKET = 1 << 16
+#: Pairs compared at a time, and rows of a bucket up to which buckets of one size are compared together.
+PAIRS, SMALL_BUCKET = 200_000, 256
 #: Counters of how many texts hold a labelled word; a fixed number, so its size doesn't grow with the data.
 COUNTERS = 1 << 20
 #: Half width of the alignment band, in words.
@@ -139,51 +141,108 @@ def _sketching(counts_name: str, sketches: int):
     return run
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key: those whose key another row has. Holds one batch and the last row before it."""
+    held, met = None, False  # the last row so far, and whether its key came before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        before = int(held.column(0)[0].as_py()) if held is not None else None
+        follows = np.append(before is not None and keys[0] == before, keys[1:] == keys[:-1])
+        if held is not None and (met or follows[0]):
+            yield held
+        often = follows[:-1] | follows[1:]
+        if often.any():
+            yield batch.slice(0, len(keys) - 1).filter(pa.array(often))
+        held, met = batch.slice(len(keys) - 1), bool(follows[-1])
+    if met:
+        yield held
+
+
+def _alike(n: np.ndarray, m1: np.ndarray, m2: np.ndarray, left, right, min_share: float) -> np.ndarray:
+    """Whether pairs may share enough words: a bit that only one text has is a word that only it has, so this loses none."""
+    a1, a2, b1, b2 = m1[left], m2[left], m1[right], m2[right]
+    count = lambda x, y: (np.bitwise_count(x) + np.bitwise_count(y)).astype(np.int32)
+    most = np.minimum(n[left] - count(a1 & ~b1, a2 & ~b2), n[right] - count(b1 & ~a1, b2 & ~a2))
+    return most >= (min_share - 1e-12) * (n[left] + n[right] - most)
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray, rest: tuple, min_share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs within runs that may be alike, from ``n, m1, m2`` in ``rest`` (of all pairs without), not many at a time."""
+    for size in np.unique(sizes[sizes <= SMALL_BUCKET]):
+        own, (i, j) = starts[sizes == size, None], np.triu_indices(size, 1)
+        most = max(1, PAIRS // len(i))
+        for k in range(0, len(own), most):
+            left, right = (own[k : k + most] + i).ravel(), (own[k : k + most] + j).ravel()
+            if rest:
+                likely = _alike(*rest, left, right, min_share)
+                left, right = left[likely], right[likely]
+            yield left, right
+    for start, size in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
+        step = max(1, PAIRS // size)
+        for k in range(start, start + size, step):
+            rows, others = np.arange(k, min(k + step, start + size))[:, None], np.arange(k + 1, start + size)[None, :]
+            later = others > rows
+            i, j = np.nonzero(later & _alike(*rest, rows, others, min_share) if rest else later)
+            yield i + k, j + k + 1
+
+
+def _paired(batches: Iterator[pa.RecordBatch], min_share: float = MIN_SHARE) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key: pairs within each run of equal keys; of runs that are too large, each row alone (b null).
 
-    Holds one batch and the open run, of which no more rows than a bucket may have.
+    Rows may have ``n, m1, m2`` of their texts after ``key, rid``; then only pairs that may be alike come out, so that
+    what is written follows the copies and not the buckets. Holds one batch and the open run, of which no more rows
+    than a bucket may have.
     """
 
-    def emit(keys: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    def emit(keys: np.ndarray, ids: pa.Array, rest: tuple) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
-        left, right = [], []
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= LARGEST_BUCKET)]):
-            i, j = np.triu_indices(size, 1)
-            at = starts[sizes == size][:, None]
-            left.append((at + i).ravel())
-            right.append((at + j).ravel())
-        if left:
-            a, b = ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+        fit = (sizes > 1) & (sizes <= LARGEST_BUCKET)
+        for left, right in _places(starts[fit], sizes[fit], rest, min_share):
+            if len(left):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], names=["a", "b"])
         large = np.repeat(sizes > LARGEST_BUCKET, sizes)
         if large.any():
             a = ids.filter(pa.array(large))
             yield pa.RecordBatch.from_arrays([a, pa.nulls(len(a), pa.string())], names=["a", "b"])
 
-    open_keys, open_ids, overflow = np.zeros(0, np.int64), pa.array([], pa.string()), None
+    parts, waiting, overflow = [], 0, None  # batches of the open run, joined only when it ends
+
+    def joined(own: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array, tuple]:
+        columns = [pa.concat_arrays(c) for c in zip(*(b.columns for b in own))]
+        rest = [c.to_numpy() for c in columns[2:]]
+        return columns[0].to_numpy(), columns[1], tuple([rest[0].astype(np.int32), *(m.view(np.uint64) for m in rest[1:])] if rest else ())
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, ids = batch.column(0).to_numpy(), batch.column(1)
+        keys = batch.column(0).to_numpy()
         if overflow is not None:  # the rest of a run already known to be too large
             same = int(np.searchsorted(keys != overflow, True)) if keys[0] == overflow else 0
             if same:
-                yield pa.RecordBatch.from_arrays([ids.slice(0, same), pa.nulls(same, pa.string())], names=["a", "b"])
-                keys, ids = keys[same:], ids.slice(same)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(0, same), pa.nulls(same, pa.string())], names=["a", "b"])
+                keys, batch = keys[same:], batch.slice(same)
             if not len(keys):
                 continue
             overflow = None
-        keys, ids = np.concatenate([open_keys, keys]), pa.concat_arrays([open_ids, ids])
         last = len(keys) - int(np.searchsorted((keys != keys[-1])[::-1], True)) if keys[0] != keys[-1] else 0
-        yield from emit(keys[:last], ids.slice(0, last)) if last else ()
-        open_keys, open_ids = keys[last:], ids.slice(last)
-        if len(open_keys) > LARGEST_BUCKET:
-            yield from emit(open_keys, open_ids)
-            overflow, open_keys, open_ids = int(open_keys[0]), np.zeros(0, np.int64), pa.array([], pa.string())
-    if len(open_keys):
-        yield from emit(open_keys, open_ids)
+        if parts and (last or keys[0] != open_key):
+            same = int(np.searchsorted(keys != open_key, True)) if keys[0] == open_key else 0
+            yield from emit(*joined([*parts, batch.slice(0, same)]))
+            parts, waiting, keys, batch, last = [], 0, keys[same:], batch.slice(same), last - same
+        if last > 0:
+            yield from emit(*joined([batch.slice(0, last)]))
+            batch = batch.slice(last)
+        open_key = int(keys[-1])
+        parts.append(batch)
+        waiting += batch.num_rows
+        if waiting > LARGEST_BUCKET:
+            yield from emit(*joined(parts))
+            overflow, parts, waiting = open_key, [], 0
+    if parts:
+        yield from emit(*joined(parts))
 
 
 def aligned_words(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, band: int = BAND) -> np.ndarray:
@@ -245,9 +304,8 @@ def _rare_prefixes(counts_name: str, min_share: float):
             order = np.lexsort((labels, counts[_counter(labels)], row))
             place = np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keep = place < np.repeat(lengths - np.ceil(min_share * lengths - 1e-9).astype(np.int64) + 1, lengths)
-            ids = batch.column(0).take(pa.array(row[keep]))
-            n = pa.array(lengths[row[keep]], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(labels[order][keep].view(np.int64)), ids, n], names=["key", "rid", "n"])
+            ids, n, m1, m2 = (batch.column(c).take(pa.array(row[keep])) for c in ("rid", "n", "m1", "m2"))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[order][keep].view(np.int64)), ids, n, m1, m2], names=["key", "rid", "n", "m1", "m2"])
 
     return run
 
@@ -288,24 +346,24 @@ def similar_classes(texts: DataFrame, min_share: float = MIN_SHARE, sketches: in
     """``a, b, share, aligned`` of all pairs of representatives that share ``min_share`` of their words.
 
     Candidates are first compared by their maps (a bit that only one text has is a word that only it has, so this
-    bound loses nothing), then aligned: a pair whose alignment matches enough words in order is accepted with that
+    bound loses nothing), where they meet and before anything is written about them: their number grows faster than
+    the texts. Then they are aligned: a pair whose alignment matches enough words in order is accepted with that
     share. Only where it doesn't, as sentences were moved, are words counted in any order. ``aligned`` is the part of
     the longer text that the banded alignment matches.
     """
     counts = frequency_file(texts)
     rows = texts.select("rid", "labels").mapInArrow(_sketching(counts, sketches), "key long, rid string")
-    met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_paired, "a string, b string"), "met")
+    often = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met_often, "key long, rid string"), "often")
+    mapped = often.join(texts.select("rid", "n", "m1", "m2"), "rid").select("key", "rid", "n", "m1", "m2")
+    met = written(mapped.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_paired, min_share=min_share), "a string, b string"), "met")
     pairs = met.filter(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crowded = met.filter(F.col("b").isNull()).select(F.col("a").alias("rid")).distinct()
-    prefixes = texts.select("rid", "labels").join(crowded, "rid", "left_semi").mapInArrow(_rare_prefixes(counts, min_share), "key long, rid string, n int")
-    x, y = prefixes.toDF("key", "a", "na"), prefixes.toDF("key", "b", "nb")
-    near = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * min_share))
-    candidates = pairs.unionByName(near.select("a", "b")).distinct()
-    maps = texts.select("rid", "n", "m1", "m2")
-    met_maps = candidates.join(maps.toDF("a", "na", "a1", "a2"), "a").join(maps.toDF("b", "nb", "b1", "b2"), "b")
+    prefixes = texts.join(crowded, "rid", "left_semi").select("rid", "labels", "n", "m1", "m2").mapInArrow(_rare_prefixes(counts, min_share), "key long, rid string, n int, m1 long, m2 long")
+    x, y = prefixes.toDF("key", "a", "na", "a1", "a2"), prefixes.toDF("key", "b", "nb", "b1", "b2")
     only = lambda x, y: F.expr(f"bit_count({x}1 & ~{y}1) + bit_count({x}2 & ~{y}2)")
     most = F.least(F.col("na") - only("a", "b"), F.col("nb") - only("b", "a"))
-    likely = met_maps.filter(most / (F.col("na") + F.col("nb") - most) >= min_share - 1e-12).select("a", "b")
+    near = x.join(y, "key").filter((F.col("a") < F.col("b")) & (most / (F.col("na") + F.col("nb") - most) >= min_share - 1e-12))
+    likely = pairs.unionByName(near.select("a", "b")).distinct()
     lists = texts.select("rid", "labels")
     first = likely.join(lists.toDF("a", "la"), "a")
     both = first.join(lists.toDF("b", "lb"), "b").select("a", "b", "la", "lb")
@@ -341,13 +399,22 @@ def near_copies(df: DataFrame, ident: str, text: str, min_share: float = MIN_SHA
     texts, members = classes_of_copies(df, ident, text, min_words)
     members = written(members, "members")
     links = similar_classes(texts, min_share).select("a", "b")
-    a, b = members.toDF("a", "ia"), members.toDF("b", "ib")
-    across = links.join(a, "a").join(b, "b").select("ia", "ib")
+    repeated = written(members.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("again")), "repeated")
+    some = repeated.limit(1).count() > 0
+    if some:  # only ids with several texts can give a pair twice
+        members = members.join(repeated, "id", "left").select("rid", "id", F.coalesce("again", F.lit(False)).alias("again"))
+    else:
+        members = members.withColumn("again", F.lit(False))
+    a, b = members.toDF("a", "ia", "aa"), members.toDF("b", "ib", "ab")
+    across = links.join(a, "a").join(b, "b").select("ia", "ib", "aa", "ab")
     copies = members.groupBy("rid").count().filter("count > 1").select("rid")
     within = members.join(copies, "rid", "left_semi")
-    same = within.toDF("a", "ia").join(within.toDF("a", "ib"), "a").filter("ia < ib").select("ia", "ib")
+    same = within.toDF("a", "ia", "aa").join(within.toDF("a", "ib", "ab"), "a").filter("ia < ib").select("ia", "ib", "aa", "ab")
     both = across.unionByName(same).filter("ia <> ib")
-    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+    ordered = both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (F.col("aa") | F.col("ab")).alias("again"))
+    if not some:
+        return ordered.select("a", "b")
+    return ordered.filter("NOT again").select("a", "b").unionByName(ordered.filter("again").select("a", "b").distinct())
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,34 @@ def test_crowded_buckets_lose_nothing(spark, monkeypatch):
     assert all(held[a] & held[b] for a in held for b in held)
 
 
+@pytest.mark.parametrize("step", [7, 1000])
+def test_full_buckets_give_only_pairs_that_may_be_alike(spark, step):
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(10_000)}" for _ in range(40)) for _ in range(400)]
+    rows = [(f"i{k:03d}", t) for k, t in enumerate(texts)] + [("z0", texts[0] + " more"), ("z9", texts[399] + " more")]
+    classes, _ = near_copies.classes_of_copies(frame(spark, rows), "id", "text", 30)
+    table = classes.toArrow().combine_chunks()
+    columns = [pa.array(np.repeat(7, len(table))), *(table[c].combine_chunks() for c in ("rid", "n", "m1", "m2"))]
+    one = pa.RecordBatch.from_arrays(columns, names=["key", "rid", "n", "m1", "m2"])
+    before = one.slice(0, 3).set_column(0, "key", pa.array([5, 5, 6]))
+    out = list(near_copies._paired(iter([before, *(one.slice(k, step) for k in range(0, len(table), step))])))
+    got = {tuple(sorted(p)) for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert {("i000", "z0"), ("i399", "z9")} <= got and len(got) < 400
+
+
+def test_only_keys_of_several_rows_are_kept():
+    keys = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    for step in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + step]), pa.array([str(i) for i in range(k, min(k + step, 10))])], names=["key", "rid"]) for k in range(0, 10, step)]
+        assert [x for b in near_copies._met_often(iter(batches)) for x in b.column(1).to_pylist()] == ["1", "2", "4", "5", "6", "8", "9"]
+
+
+def test_pairs_of_ids_with_several_texts_come_once(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [("a", " ".join(words)), ("a", " ".join([*words, "x"])), ("b", " ".join([*words, "y"])), ("b", " ".join(words)), ("c", " ".join(words))]
+    assert sorted(tuple(r) for r in near_copies.near_copies(frame(spark, rows), "id", "text").collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
 def test_alignment():
     a = np.array([[1, 2, 3, 4, 5, 0], [1, 2, 3, 4, 5, 6]], dtype=np.uint64)
     b = np.array([[1, 3, 4, 9, 5, 0], [6, 5, 4, 3, 2, 1]], dtype=np.uint64)
